@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peneira.llm import glyphs, near, residue
-from peneira.session import table
+from peneira.llm import glyphs, groups, history, near, residue, survivor
+from peneira.operators.timestamps import instants
+from peneira.session import staged, table
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -40,5 +41,48 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.consistent(table(spark, sf_dir, "vacancy"), "rec_id", ["title", "company", "location"], changed_only=True).select(F.col("row_id").alias("rec_id"), "field")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_plain_values": p3_plain_values}
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, root): the vacancy rows linked by p1 and the group each belongs to."""
+    members, links = _near(spark, sf_dir)
+    roots = groups.connected(links.select("a", "b"))
+    several = members.groupBy("class").agg(F.count("*").alias("n"))
+    named = members.join(roots.withColumnRenamed("node", "class"), "class", "left").join(several, "class")
+    return named.where("root is not null or n > 1").select(F.col("rec").alias("rec_id"), F.coalesce("root", "class").alias("root"))
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dim = table(spark, sf_dir, "vacancy"), table(spark, sf_dir, "source_dim")
+    dated = instants(rows, dim, "rec_id", {"published_at": False}, "observed_at")
+    return survivor.survivors(staged(survivor.measured(rows, _groups(spark, sf_dir), dated, dim), "measured"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of each group of copies that no other one betters in source, date, text or place."""
+    return _survivors(spark, sf_dir).where("whole is not null").select(F.col("whole").alias("rec_id"))
+
+
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one surviving record of each group of copies, built bundle by bundle."""
+    bundles = {"origin": ["source", "source_job_id", "canonical_url"], "dated": ["published_at"], "text": ["title", "description_summary"], "place": ["location", "workplace_model", "remote_scope"]}
+    return survivor.built(table(spark, sf_dir, "vacancy"), _survivors(spark, sf_dir), bundles)
+
+
+def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.deduplicated(table(spark, sf_dir, "vacancy"), table(spark, sf_dir, "incoming"), "rec_id", "batch_no")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incoming rows that are the same listing as a row of vacancy or an earlier incoming row."""
+    return _repeats(spark, sf_dir).select(F.col("rec").alias("rec_id"))
+
+
+def p6_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truly new listings of incoming."""
+    return table(spark, sf_dir, "incoming").join(_repeats(spark, sf_dir).select(F.col("rec").alias("rec_id")), "rec_id", "left_anti").select("rec_id", "batch_no")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p2_found, p2_kept, p3_found, p3_plain_values, p4_found, p4_survivors, p6_found, p6_new)
+}
 SQL: dict[str, str] = {}
