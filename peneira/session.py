@@ -48,7 +48,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/peneira-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
