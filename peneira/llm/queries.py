@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peneira.llm import glyphs, groups, history, near, residue, survivor
+from peneira.llm import glyphs, groups, history, mixing, near, packing, residue, splitting, survivor, tokens
 from peneira.operators.timestamps import instants
 from peneira.session import staged, table
 
@@ -81,8 +81,56 @@ def p6_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "incoming").join(_repeats(spark, sf_dir).select(F.col("rec").alias("rec_id")), "rec_id", "left_anti").select("rec_id", "batch_no")
 
 
+CONTAINER = 4096
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of 4,096 tokens, or of a smaller permitted size where its contents fit one."""
+    return packing.packed(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), (512, 1024, 2048, CONTAINER))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents larger than a container: those of which a second piece was packed."""
+    return p8_containers(spark, sf_dir).where("piece = 1").select("doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = staged(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]), "sized")
+    tree = table(spark, sf_dir, "source_dim").select(F.col("code").alias("source"), F.col("kind").alias("domain"), F.col("default_country").alias("language"))
+    return sized, mixing.leaf_report(sized, table(spark, sf_dir, "mix_target"), tree)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixing.mixture(*_mix(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares the mixture reached, by source."""
+    sized, report = _mix(spark, sf_dir)
+    return mixing.shares(staged(mixing.mixture(sized, report), "mixture"), report)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't reach their weight even with every document used as often as allowed."""
+    return p9_shares(spark, sf_dir).where("short").select("source")
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document of more than 1,024 tokens."""
+    return splitting.pieces(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of more than 1,024 tokens: those that came out in pieces."""
+    return p10_pieces(spark, sf_dir).where("piece = 0").select("doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_kept, p3_found, p3_plain_values, p4_found, p4_survivors, p6_found, p6_new)
-}
+    for f in (
+        p1_found, p2_found, p2_kept, p3_found, p3_plain_values, p4_found, p4_survivors, p6_found, p6_new,
+        p8_found, p8_containers, p9_found, p9_mixture, p9_shares, p10_found, p10_pieces,
+    )
+}
 SQL: dict[str, str] = {}
