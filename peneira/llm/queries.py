@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peneira.llm import glyphs, groups, history, mixing, near, packing, residue, splitting, survivor, tokens
+from peneira.llm import glyphs, groups, history, mixing, names, near, packing, residue, splitting, survivor, tokens
 from peneira.operators.timestamps import instants
 from peneira.session import staged, table
 
@@ -81,6 +81,15 @@ def p6_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "incoming").join(_repeats(spark, sf_dir).select(F.col("rec").alias("rec_id")), "rec_id", "left_anti").select("rec_id", "batch_no")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of vacancy and search_profile that mean a company of company_ref and aren't written like it."""
+    profiles = table(spark, sf_dir, "search_profile")
+    told = table(spark, sf_dir, "vacancy").select(F.lit("company").alias("field"), F.col("rec_id").alias("row_id"), F.col("company").alias("spelled"))
+    for field in ("excluded_companies", "favorite_companies"):
+        told = told.unionAll(profiles.select(F.lit(field).alias("field"), F.col("profile_id").alias("row_id"), F.explode(field).alias("spelled")))
+    return names.linked(told, table(spark, sf_dir, "company_ref"))
+
+
 CONTAINER = 4096
 
 
@@ -129,7 +138,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_kept, p3_found, p3_plain_values, p4_found, p4_survivors, p6_found, p6_new,
+        p1_found, p2_found, p2_kept, p3_found, p3_plain_values, p4_found, p4_survivors, p6_found, p6_new, p7_found,
         p8_found, p8_containers, p9_found, p9_mixture, p9_shares, p10_found, p10_pieces,
     )
 }
