@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peneira.llm import glyphs, groups, history, mixing, names, near, packing, residue, splitting, survivor, tokens
+from peneira.llm import glyphs, history, mixing, names, near, packing, residue, splitting, survivor, tokens
+from peneira.operators.components import connected
 from peneira.operators.timestamps import instants
 from peneira.session import staged, table
 
@@ -44,7 +45,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, root): the vacancy rows linked by p1 and the group each belongs to."""
     members, links = _near(spark, sf_dir)
-    roots = groups.connected(links.select("a", "b"))
+    roots = connected(links.select("a", "b"))
     several = members.groupBy("class").agg(F.count("*").alias("n"))
     named = members.join(roots.withColumnRenamed("node", "class"), "class", "left").join(several, "class")
     return named.where("root is not null or n > 1").select(F.col("rec").alias("rec_id"), F.coalesce("root", "class").alias("root"))
