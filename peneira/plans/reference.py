@@ -16,8 +16,11 @@ from peneira.functions.text import (
 from peneira.functions.times_sql import activity, deadline_instant, iso_instant
 from peneira.functions.urls import canonical_url
 from peneira.operators import filters, insight, merge, resolve, series
+from peneira.operators.classify import Profile, classified
 from peneira.session import table
+from peneira.sinks import publish
 from peneira.sources import json_items
+from peneira.sources.html_lists import job_id
 from peneira.streaming.first_seen import stream_first_seen
 
 NOW_TEXT = "2026-03-01 00:00:00"
@@ -530,3 +533,41 @@ def search_sweep(spark, sf_dir):
     """Search addresses of enabled sources; two requests a source is the budget."""
     terms = spark.createDataFrame([(0, "python"), (1, "java junior"), (2, "dados")], "pos int, term string")
     return json_items.sweep(table(spark, sf_dir, "source_dim"), terms, 2)
+
+
+PROFILE_TERMS = ["Python", "Java"]
+
+
+@query(f"""with t as (select rec_id, {FOLDED % "description_summary"} as d from vacancy)
+ select rec_id, coalesce(regexp_matches(d, '{_sql_term("python")}') or regexp_matches(d, '{_sql_term("java")}'), false) as core from t""")
+def core_terms(spark, sf_dir):
+    """2.9.1, rule 3: whether a record cites a core term of a profile."""
+    d = fold(F.col("description_summary"))
+    return vacancy(spark, sf_dir).select("rec_id", (has_term(d, PROFILE_TERMS[0]) | has_term(d, PROFILE_TERMS[1])).alias("core"))
+
+
+@query()
+def fit_case(spark, sf_dir):
+    """2.9.1: records classified against a profile."""
+    profile = Profile(technologies=PROFILE_TERMS, levels=["junior", "pleno"], places=["sao-paulo-sp", "Paraná", "brasil"], workplaces=["REMOTE", "HYBRID"], bonus=["Docker"])
+    return classified(vacancy(spark, sf_dir), profile).select("rec_id", "fit", "fit_score", "match_labels")
+
+
+@query(r"""select rec_id, coalesce(nullif(regexp_extract(canonical_url, '(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})', 1), ''), nullif(regexp_extract(canonical_url, '[?&](?:jk|jobId|job_id)=([^&#]+)', 1), ''),
+ nullif(string_split(regexp_replace(regexp_extract(canonical_url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/')[-1], '')) as job_id from vacancy""")
+def page_keys(spark, sf_dir):
+    """The job id of an address."""
+    return vacancy(spark, sf_dir).select("rec_id", job_id(F.col("canonical_url")).alias("job_id"))
+
+
+@query("select source, count(*) as records from vacancy group by 1")
+def run_report(spark, sf_dir):
+    """The rows of a run's report."""
+    return publish.run_report(vacancy(spark, sf_dir).withColumn("reason", _reason())).select("source", "records")
+
+
+@query(r"select rec_id, case when regexp_matches(title, '^[=+\-@\t\r]') then '''' || title else title end as title, case when regexp_matches(array_to_string(match_labels, ';'), '^[=+\-@\t\r]') then '''' || array_to_string(match_labels, ';') else array_to_string(match_labels, ';') end as match_labels from vacancy")
+def csv_view(spark, sf_dir):
+    """K5: cells of the plain CSV."""
+    rows = vacancy(spark, sf_dir)
+    return rows.select("rec_id", spreadsheet_safe(F.col("title")).alias("title"), spreadsheet_safe(F.array_join("match_labels", ";")).alias("match_labels"))
