@@ -57,38 +57,37 @@ def exact_duplicates(records: DataFrame, order: str) -> DataFrame:
     identity was; a dropped record registers nothing. Two job ids at one
     address are a conflict: neither is kept. The rule is replayed within
     connected components of addresses and identities, so components run in
-    parallel; a component is bounded by one listing's keys. Records of one
-    component with equal keys are collapsed to their first before the replay.
+    parallel. Records with equal keys are collapsed to
+    their first before the replay; conflicts are found by a join with what was taken.
     """
     keyed = staged(records.select(F.col(order).alias("ord"), F.when(F.col("url_key") != "", F.col("url_key")).alias("url"), F.col("id_key").alias("key"), "job"), "keyed")
     nodes = keyed.select("ord", "url", "key", "job", F.xxhash64(F.lit("u"), "url").alias("a"), F.xxhash64(F.lit("i"), "key").alias("b"))
     roots = connected(nodes.where("url is not null").select("a", "b")).withColumnRenamed("node", "b")
     placed = nodes.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
-    firsts = placed.groupBy("root", "url", "key", "job").agg(F.min("ord").alias("ord"))
-    replayed = firsts.groupBy("root").applyInPandas(_replay, "ord bigint, kept boolean, conflict boolean")
-    return keyed.select("ord").join(replayed, "ord", "left").select(F.col("ord").alias(order), F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    firsts = placed.groupBy("root", "url", "key").agg(F.min(F.struct("ord", "job")).alias("f")).select("root", "url", "key", "f.*")
+    taken = staged(firsts.groupBy("root").applyInPandas(_replay, "ord bigint, url string, job string"), "taken")
+    owners = taken.where("url is not null").select("url", F.col("ord").alias("owner"), F.col("job").alias("own"))
+    judged = keyed.join(owners, "url", "left").withColumn("later", F.coalesce((F.col("ord") > F.col("owner")) & (F.col("job") != "") & (F.col("own") != "") & (F.col("job") != F.col("own")), F.lit(False)))
+    accused = judged.where("later").select(F.col("owner").alias("ord")).distinct().withColumn("bad", F.lit(True))
+    out = judged.join(taken.select("ord", F.lit(True).alias("took")), "ord", "left").join(accused, "ord", "left")
+    bad = F.coalesce("bad", F.lit(False))
+    return out.select(F.col("ord").alias(order), (F.coalesce("took", F.lit(False)) & ~bad).alias("kept"), (F.col("later") | bad).alias("conflict"))
 
 
 def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    urls: dict[str, tuple[int, str | None]] = {}
+    """The records of a component that are taken in order: neither their address nor their identity was taken before."""
+    urls: set[str] = set()
     keys: set[str] = set()
-    kept: dict[int, bool] = {}
-    conflict: set[int] = set()
-    for ord_, url, key, job in group.sort_values("ord")[["ord", "url", "key", "job"]].itertuples(index=False):
-        before = urls.get(url) if isinstance(url, str) else None
-        kept[ord_] = False
-        if before is not None:
-            if before[1] and isinstance(job, str) and job and before[1] != job:
-                kept[before[0]] = False
-                conflict |= {before[0], ord_}
+    taken = []
+    for row in group.sort_values("ord")[["ord", "url", "key", "job"]].itertuples(index=False):
+        known = isinstance(row.url, str) and row.url in urls
+        if known or row.key in keys:
             continue
-        if key in keys:
-            continue
-        keys.add(key)
-        kept[ord_] = True
-        if isinstance(url, str):
-            urls[url] = (ord_, job if isinstance(job, str) else None)
-    return pd.DataFrame({"ord": list(kept), "kept": list(kept.values()), "conflict": [o in conflict for o in kept]})
+        keys.add(row.key)
+        if isinstance(row.url, str):
+            urls.add(row.url)
+        taken.append((row.ord, row.url, row.job))
+    return pd.DataFrame(taken, columns=["ord", "url", "job"])
 
 
 def semantic_clusters(records: DataFrame, order: str) -> DataFrame:

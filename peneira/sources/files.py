@@ -38,7 +38,7 @@ def feed(spark: SparkSession, path: str, source: str, limit: int = 3000) -> Data
     """Records of RSS files. A file whose head declares a DOCTYPE or an entity is refused whole; items without a title or a
     secure address give none."""
     files = spark.read.format("binaryFile").load(path)
-    safe = files.where(~F.lower(F.substring(F.decode("content", F.lit("UTF-8")), 1, 4096)).rlike("<!(doctype|entity)")).select("path")
+    safe = files.where(~F.lower(F.substring(F.decode("content", "UTF-8"), 1, 4096)).rlike("<!(doctype|entity)")).select("path")
     paths = [r["path"] for r in safe.collect()]  # one line for each file
     schema = "title string, link string, description string, category string, pubDate string, `content:encoded` string"
     if not paths:
