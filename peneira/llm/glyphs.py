@@ -100,6 +100,7 @@ class Tables:
             self.script[low:high] = np.where(self.letter[low:high], LATIN, 0)
         for other, latin in LOOKALIKES.items():
             self.twin[ord(other)] = ord(latin)
+        self.plain[[k & ((1 << 21) - 1) for k in pairs]] = False  # what may compose with what stands before it
         self.data = np.array(data, np.uint32)
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)

@@ -58,6 +58,8 @@ def budgets(leaves: Sequence[tuple[Sequence[str], float, float, float]]) -> list
     Each gets its target as far as its capacity goes. The shortage of a node's
     leaves is settled at the lowest ancestor that has room, the nearer first.
     """
+    if not leaves:
+        return []
     root, all_leaves = Node("root"), []
     for path, weight, capacity, _ in leaves:
         node = root
