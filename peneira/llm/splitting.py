@@ -34,7 +34,7 @@ class Limits:
     window: float = 0.5
 
 
-_SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?=\s|<|$)|</?(?:p|li|ul|ol|div|h[1-6]|br|tr|table)\b[^>]*>|\n+)\s*")
+_SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?=\s|<|$)|</(?:p|li|ul|ol|div|h[1-6]|tr|table)\s*>|<br\s*/?>|\n+)")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -50,28 +50,34 @@ def valleys(text: str, starts: list[int], block: int) -> np.ndarray:
     rows = [[known.setdefault(w, len(known)) for w in _WORD.findall(text[a:b].casefold())] for a, b in zip(edges, edges[1:])]
     n = len(starts)
     similar = np.zeros(n)
-    left: dict[int, int] = {}
-    right: dict[int, int] = {}
+    left, right = [0] * len(known), [0] * len(known)
+    dot = left_norm = right_norm = 0
 
-    def change(bag: dict[int, int], words: list[int], by: int) -> None:
-        for w in words:
-            bag[w] = bag.get(w, 0) + by
-
-    change(left, rows[0], 1)
+    # The bags, their product and their norms change by a few sentences from boundary to boundary.
     for words in rows[1 : 1 + block]:
-        change(right, words, 1)
+        for w in words:
+            right_norm += 2 * right[w] + 1
+            right[w] += 1
     for i in range(n):
-        if i:
-            change(left, rows[i], 1)
-            if i - block >= 0:
-                change(left, rows[i - block], -1)
-            change(right, rows[i], -1)
-            if i + block < len(rows):
-                change(right, rows[i + block], 1)
-        a, b = (left, right) if len(left) < len(right) else (right, left)
-        dot = sum(v * b.get(w, 0) for w, v in a.items() if v)
-        norm = sum(v * v for v in left.values()) * sum(v * v for v in right.values())
-        similar[i] = dot / norm**0.5 if norm else 0.0
+        for w in rows[i]:  # into the left bag, out of the right one
+            left_norm += 2 * left[w] + 1
+            left[w] += 1
+            dot += right[w]
+            if i:
+                right_norm -= 2 * right[w] - 1
+                right[w] -= 1
+                dot -= left[w]
+        if i >= block:
+            for w in rows[i - block]:
+                left_norm -= 2 * left[w] - 1
+                left[w] -= 1
+                dot -= right[w]
+        if i and i + block < len(rows):
+            for w in rows[i + block]:
+                right_norm += 2 * right[w] + 1
+                right[w] += 1
+                dot += left[w]
+        similar[i] = dot / (left_norm * right_norm) ** 0.5 if left_norm and right_norm else 0.0
     if not n:
         return similar
     # The hills to either side: as far as the similarity doesn't fall.
@@ -86,43 +92,54 @@ def split(text: str, limits: Limits = Limits(), path: str = TOKENIZER) -> list[t
     """Pieces (first character, end, tokens, kind of the cut at the end) of a text; one piece if it is within the size.
 
     Consecutive pieces share the overlap in tokens of the whole text, or a
-    little more where that many tokens begin within a character. A piece has at
-    most the size in tokens, both as part of the whole and encoded by itself.
-    Every character is in a piece.
+    little more where a token is cut or that many begin within a character. A
+    piece has at most the size in tokens, encoded by itself. Every character
+    is in a piece.
     """
     enc = encoder(path)
     octets = len(text.encode())
     tokens = enc.encode_ordinary(text) if octets > limits.size else []
     if len(tokens) <= limits.size:
         return [(0, len(text), len(tokens) if tokens else len(enc.encode_ordinary(text)), "end")]
-    ends = np.cumsum([len(b) for b in enc.decode_tokens_bytes(tokens)])
-    # The first character that begins at or after each token's end.
+    parts = enc.decode_tokens_bytes(tokens)
+    n = len(tokens)
+    at = np.concatenate([[0], np.cumsum([len(b) for b in parts])])
     raw = np.frombuffer(text.encode(), np.uint8)
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    char_at = np.concatenate([[0], chars[ends]])  # characters begun before the end of token i - 1
-    whole = np.concatenate([[True], (np.append(raw, 0)[ends] & 0xC0) != 0x80])
-    whole[-1] = True
+    begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    char_at = begun[at]  # characters begun before each token
+    whole = (np.append(raw, 0)[at] & 0xC0) != 0x80  # tokens that begin with a character
+    # Where the pre-tokenizer surely begins anew: tokens on either side are the same whatever lies on the other.
+    safe = [i for i in range(1, n) if parts[i][:1].isspace() and not parts[i - 1][-1:].isspace()]
     starts = _sentence_starts(text)
     depth = valleys(text, starts, limits.block)
-    # A boundary counts as the first token that begins at or after it.
-    boundary = np.searchsorted(char_at, starts).tolist()
-    words = [m.start() for m in re.finditer(r"(?<=\s)\S", text)]
-    out, begin, n = [], 0, len(tokens)
+    reach = np.searchsorted(char_at, starts).tolist()  # tokens begun before each boundary
+    words = [m.end() for m in re.finditer(r"\S(?=\s)", text)]
+
+    def own(begin: int, end: int, stop: int) -> int:
+        """Tokens of a piece encoded by itself: only its ends can differ from the whole."""
+        i, j = bisect_left(safe, begin), bisect_left(safe, end) - 1
+        if j <= i:
+            return len(enc.encode_ordinary(text[char_at[begin] : stop]))
+        head, tail = safe[i], safe[j]
+        first = len(enc.encode_ordinary(text[char_at[begin] : char_at[head]])) if head > begin else 0
+        return first + tail - head + len(enc.encode_ordinary(text[char_at[tail] : stop]))
+
+    out, begin = [], 0
     while True:
         room = limits.size
         while True:
             if n - begin <= room:
                 end, kind, stop = n, "end", len(text)
             else:
-                end, kind, stop = _cut(begin, begin + room, limits, boundary, starts, depth, words, char_at, whole)
-            own = len(enc.encode_ordinary(text[char_at[begin] : stop]))
-            if own <= limits.size:
+                end, kind, stop = _cut(begin, begin + room, limits, reach, starts, depth, words, char_at, whole)
+            size = own(begin, end, stop)
+            if size <= limits.size:
                 break
-            room -= own - limits.size
-        out.append((int(char_at[begin]), int(stop), own, kind))
+            room -= size - limits.size
+        out.append((int(char_at[begin]), int(stop), size, kind))
         if end == n:
             return out
-        back = end - limits.overlap
+        back = end - limits.overlap - int(char_at[end] > stop)
         while back > begin and not whole[back]:
             back -= 1
         begin = max(back, begin + 1)
@@ -130,24 +147,22 @@ def split(text: str, limits: Limits = Limits(), path: str = TOKENIZER) -> list[t
             begin += 1
 
 
-def _cut(begin: int, most: int, limits: Limits, boundary: list[int], starts: list[int], depth: np.ndarray, words: list[int], char_at: np.ndarray, whole: np.ndarray) -> tuple[int, str, int]:
-    """(token, kind, character) at which a piece that begins at a token ends, at most at another: deepest valley in the
-    window, else the last sentence, word or character in reach."""
-    least = begin + max(limits.overlap + 1, int((most - begin) * limits.window))
-    low, high = bisect_left(boundary, least), bisect_right(boundary, most)
-    inside = [i for i in range(low, high) if char_at[boundary[i]] == starts[i] and whole[boundary[i]]] or [i for i in range(low, high) if whole[boundary[i]]]
-    if inside:
-        best = max(inside, key=lambda i: (depth[i], boundary[i]))
-        return boundary[best], "sentence", int(char_at[boundary[best]])
-    earlier = [i for i in range(bisect_left(boundary, begin + limits.overlap + 1), low) if whole[boundary[i]]]
-    if earlier:
-        return boundary[earlier[-1]], "sentence", int(char_at[boundary[earlier[-1]]])
-    for i in range(bisect_right(words, int(char_at[most])) - 1, -1, -1):
-        at = int(np.searchsorted(char_at, words[i] - 1))  # a space belongs to the word after it
-        if at <= begin + limits.overlap:
-            break
-        if at <= most and whole[at]:
-            return at, "word", int(char_at[at])
+def _cut(begin: int, most: int, limits: Limits, reach: list[int], starts: list[int], depth: np.ndarray, words: list[int], char_at: np.ndarray, whole: np.ndarray) -> tuple[int, str, int]:
+    """(tokens begun before the cut, kind, character) of the end of a piece that begins at a token and ends at most at
+    another: the deepest valley in the window, else the last sentence, word or character in reach."""
+    least = begin + max(limits.overlap + 2, int((most - begin) * limits.window))
+    low, high = bisect_left(reach, least), bisect_right(reach, most)
+    if low < high:
+        best = max(range(low, high), key=lambda i: (depth[i], i))
+        return reach[best], "sentence", starts[best]
+    earlier = bisect_left(reach, begin + limits.overlap + 2)
+    if earlier < low:
+        return reach[low - 1], "sentence", starts[low - 1]
+    last = bisect_right(words, int(char_at[most])) - 1
+    if last >= 0:
+        end = int(np.searchsorted(char_at, words[last]))
+        if begin + limits.overlap + 2 <= end <= most:
+            return end, "word", words[last]
     while most > begin + 1 and not whole[most]:
         most -= 1
     return most, "character", int(char_at[most])
