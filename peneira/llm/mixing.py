@@ -140,8 +140,8 @@ def mixture(sized: DataFrame, report: DataFrame, seed: int = 17) -> DataFrame:
     ends = F.col("start") + F.sum("tokens").over(Window.partitionBy("source", "slice").orderBy("order", "doc_id", "row"))
     # A document that crosses the budget is in if that is nearer than to stop before it.
     at_edge = edge.withColumn("end", ends).where(F.col("end") - F.col("rest") <= F.col("tokens") / 2).select("doc_id", "source", "tokens", "row")
-    again = inside.unionAll(at_edge).select("doc_id", "row", F.lit(1).alias("extra"))
-    return docs.join(again, ["doc_id", "row"], "left").select("doc_id", "source", "tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("times")).where("times > 0")
+    again = inside.unionAll(at_edge).withColumn("extra", F.lit(1))
+    return docs.join(again, ["doc_id", "source", "tokens", "row"], "left").select("doc_id", "source", "tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("times")).where("times > 0")
 
 
 def shares(mixed: DataFrame, report: DataFrame) -> DataFrame:

@@ -177,11 +177,15 @@ class Book:
             for whole in {"".join(full), "".join(ws)}:
                 self.by_whole[whole].add(i)
             self.by_initials[initials(ws)].append(i)
+        # No longer text can be within the bound of an official one.
+        self.longest_word = max(map(len, self.by_own), default=0) + 2
+        self.longest_whole = max(map(len, self.by_whole), default=0) + 2
+        self.most_words = max(map(len, self.words.values()), default=0) + 2
         self.trie, self.wholes = Trie(list(self.by_own)), Trie(list(self.by_whole))
         self.near = lru_cache(maxsize=1 << 18)(self._near)
 
     def _near(self, word: str) -> list[tuple[str, int]]:
-        return self.trie.near(word, bound(word))
+        return self.trie.near(word, bound(word)) if len(word) <= self.longest_word else []
 
     def candidates(self, words: list[str]) -> set[int]:
         """Entities that share an identifying word, exactly or, if none does, within its distance."""
@@ -225,8 +229,8 @@ class Book:
         words = [w for w in every if w.rstrip(".") not in _BETWEEN]
         if not words:
             return None
-        found = self._by_words(words)
-        if not found:  # a word written in two parts
+        found = self._by_words(words) if len(words) <= self.most_words else {}
+        if not found and len(words) <= self.most_words:  # a word written in two parts
             for k in range(len(words) - 1):
                 joined = [*words[:k], words[k].rstrip(".") + words[k + 1], *words[k + 2 :]]
                 if joined[k].rstrip(".") in self.by_own:
@@ -246,7 +250,7 @@ class Book:
                 for w in {whole, stripped}:
                     for i in self.by_whole.get(w, ()):
                         found[i] = 1
-                if not found:
+                if not found and len(whole) <= self.longest_whole:
                     for near, d in self.wholes.near(whole, 2):
                         for i in self.by_whole[near]:
                             found[i] = min(found.get(i, 99), 1 + 8 * d)

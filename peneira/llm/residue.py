@@ -332,17 +332,25 @@ class Index:
         return bool(could) and any(self._matches(seen, could, start) for start, begins in enumerate(seen.begins) if begins or seen.opened[start])
 
     def _matches(self, seen: Text, could: list[tuple[list[str], float]], start: int) -> bool:
-        """Whether a window that begins here, and ends where a passage may end or another exemplar begins, is covered by an exemplar."""
-        for e, weight in could:
-            head = ["‹open›"] if seen.opened[start] and e[0] == "‹open›" else []
-            if (e[0] == "‹open›" and not head) or set(e).isdisjoint(seen.tokens[start : start + 2]):
+        """Whether a window that begins here is covered by an exemplar and ends where a passage may end, or where further
+        such windows go on to such an end."""
+        waiting, done = [start], set()
+        while waiting:
+            at = waiting.pop()
+            if at in done:
                 continue
-            for stop in range(start + max(1, len(e) - len(head) - 2), min(len(seen.tokens), start + len(e) + 2) + 1):
-                window = head + seen.tokens[start:stop]
-                both = self.shared(e, window)
-                if both >= COVER * weight and both >= PRECISE * self.weigh(window) and not self._is_work(seen.tokens, start, stop):
-                    if seen.ends[stop - 1] or self._matches(seen, could, stop):
-                        return True
+            done.add(at)
+            for e, weight in could:
+                head = ["‹open›"] if at < len(seen.tokens) and seen.opened[at] and e[0] == "‹open›" else []
+                if (e[0] == "‹open›" and not head) or set(e).isdisjoint(seen.tokens[at : at + 2]):
+                    continue
+                for stop in range(at + max(1, len(e) - len(head) - 2), min(len(seen.tokens), at + len(e) + 2) + 1):
+                    window = head + seen.tokens[at:stop]
+                    both = self.shared(e, window)
+                    if both >= COVER * weight and both >= PRECISE * self.weigh(window) and not self._is_work(seen.tokens, at, stop):
+                        if seen.ends[stop - 1]:
+                            return True
+                        waiting.append(stop)
         return False
 
     def _is_work(self, tokens: list[str], start: int, stop: int) -> bool:

@@ -143,6 +143,10 @@ def test_names(text, company):
     assert (got[1] if got and got[1] >= 0 else None) == company
 
 
+def test_very_long_names():
+    assert names.Book(REF).read("abc " * 50_000) is None and names.Book(REF).read("x" * 500_000) is None
+
+
 def test_trie_matches_brute_force():
     rnd = random.Random(4)
     words_ = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(150)})

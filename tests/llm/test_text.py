@@ -91,6 +91,10 @@ def test_no_residue(text):
     assert not INDEX.is_residue(text)
 
 
+def test_very_long_texts():
+    assert INDEX.is_residue("bla " * 30_000 + "bla.") and not INDEX.is_residue("de dados " * 100_000)
+
+
 def test_flagged_operator(spark):
     rows = spark.createDataFrame([(1, "Dev", "Acesso negado."), (2, None, None), (3, "{{cargo}}", ""), (3, "{{cargo}}", ""), (4, "Dev", "texto " * 20_000 + ". {{x}}")], "rec_id bigint, title string, body string")
     assert sorted((r["rec_id"], r["residue"]) for r in residue.flagged(rows, ["title", "body"]).collect()) == [(1, True), (2, False), (3, True), (3, True), (4, True)]
