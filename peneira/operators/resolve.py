@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,10 @@ def exact_duplicates(records: DataFrame, order: str) -> DataFrame:
     roots = connected(nodes.where("url is not null").select("a", "b")).withColumnRenamed("node", "b")
     placed = nodes.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
     firsts = placed.groupBy("root", "url", "key").agg(F.min(F.struct("ord", "job")).alias("f")).select("root", "url", "key", "f.*")
-    taken = staged(firsts.groupBy("root").applyInPandas(_replay, "ord bigint, url string, job string"), "taken")
+    counted = firsts.withColumn("n", F.count("*").over(Window.partitionBy("root")))
+    alone = counted.where("n = 1").select("ord", "url", "job")
+    ordered = counted.where("n > 1").repartition("root").sortWithinPartitions("root", "ord").select("root", "ord", "url", "key", "job")
+    taken = staged(alone.unionAll(ordered.mapInArrow(_replay, "ord bigint, url string, job string")), "taken")
     owners = taken.where("url is not null").select("url", F.col("ord").alias("owner"), F.col("job").alias("own"))
     judged = keyed.join(owners, "url", "left").withColumn("later", F.coalesce((F.col("ord") > F.col("owner")) & (F.col("job") != "") & (F.col("own") != "") & (F.col("job") != F.col("own")), F.lit(False)))
     accused = judged.where("later").select(F.col("owner").alias("ord")).distinct().withColumn("bad", F.lit(True))
@@ -74,20 +79,22 @@ def exact_duplicates(records: DataFrame, order: str) -> DataFrame:
     return out.select(F.col("ord").alias(order), (F.coalesce("took", F.lit(False)) & ~bad).alias("kept"), (F.col("later") | bad).alias("conflict"))
 
 
-def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    """The records of a component that are taken in order: neither their address nor their identity was taken before."""
-    urls: set[str] = set()
-    keys: set[str] = set()
-    taken = []
-    for row in group.sort_values("ord")[["ord", "url", "key", "job"]].itertuples(index=False):
-        known = isinstance(row.url, str) and row.url in urls
-        if known or row.key in keys:
-            continue
-        keys.add(row.key)
-        if isinstance(row.url, str):
-            urls.add(row.url)
-        taken.append((row.ord, row.url, row.job))
-    return pd.DataFrame(taken, columns=["ord", "url", "job"])
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each component that are taken in order: neither their address nor their identity was taken before."""
+    root, urls, keys = None, set(), set()
+    for batch in batches:
+        taken = []
+        for i, (of, url, key) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("root", "url", "key")])):
+            if of != root:
+                root, urls, keys = of, set(), set()
+            if (url is not None and url in urls) or key in keys:
+                continue
+            keys.add(key)
+            if url is not None:
+                urls.add(url)
+            taken.append(i)
+        at = pa.array(taken, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("ord", "url", "job")], ["ord", "url", "job"])
 
 
 def semantic_clusters(records: DataFrame, order: str) -> DataFrame:
@@ -113,7 +120,8 @@ def semantic_clusters(records: DataFrame, order: str) -> DataFrame:
 def keep_one(clustered: DataFrame, order: str, published: Column, best_source: Column) -> DataFrame:
     """One record per cluster: of the best source, within one source the newest, else the first; with ALSO_SEEN_IN and
     REPOSTED labels. Records without a cluster stay."""
-    own = clustered.withColumn("p_", published).withColumn("s_", best_source)
+    # The clusters are read four times below: once computed, they are kept.
+    own = staged(clustered.withColumn("p_", published).withColumn("s_", best_source), "clusters")
     alone = own.where("cluster is null").drop("p_", "s_", "cluster")
     groups = own.where("cluster is not null").groupBy("cluster").agg(F.countDistinct("source").alias("sources_"), F.min("s_").alias("best_"), F.collect_set("source").alias("all_"))
     rated = own.where("cluster is not null").join(groups, "cluster").where("s_ = best_")

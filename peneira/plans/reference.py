@@ -17,7 +17,7 @@ from peneira.functions.times_sql import activity, deadline_instant, iso_instant
 from peneira.functions.urls import canonical_url
 from peneira.operators import filters, insight, merge, resolve, series
 from peneira.operators.classify import Profile, classified
-from peneira.session import table
+from peneira.session import spread, table
 from peneira.sinks import publish
 from peneira.sources import json_items
 from peneira.sources.html_lists import job_id
@@ -119,7 +119,7 @@ def query(sql: str | None = None):
 @query(f"select rec_id, {FOLDED % 'description_summary'} as folded from vacancy where description_summary is not null")
 def fold_text(spark, sf_dir):
     """Folded descriptions."""
-    return vacancy(spark, sf_dir).where("description_summary is not null").select("rec_id", fold(F.col("description_summary")).alias("folded"))
+    return spread(vacancy(spark, sf_dir).where("description_summary is not null").select("rec_id", "description_summary")).select("rec_id", fold(F.col("description_summary")).alias("folded"))
 
 
 def _sql_term(alias: str) -> str:
@@ -138,7 +138,7 @@ _ALIASES = {"Python": ["python"], "Node": ["node", "node.js", "nodejs"], "Júnio
 ))
 def term_match(spark, sf_dir):
     """Records that cite a term or one of its aliases as whole words."""
-    text = vacancy(spark, sf_dir).select(fold(F.col("description_summary")).alias("d"))
+    text = spread(vacancy(spark, sf_dir).select("description_summary")).select(fold(F.col("description_summary")).alias("d"))
     counted = text.agg(*[F.count_if(has_term(F.col("d"), t)).alias(f"c{i}") for i, t in enumerate(TERMS)])
     return counted.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"c{i}").alias("n")) for i, t in enumerate(TERMS)])).alias("x")).select("x.*")
 
@@ -318,7 +318,7 @@ def exact_dedupe(spark, sf_dir):
 @query()
 def repost_cluster(spark, sf_dir):
     """One record per meaning, with where else it was seen."""
-    rows = vacancy(spark, sf_dir).select("rec_id", "source", "title", "company", "location", "workplace_model", "published_at", "canonical_url", "match_labels")
+    rows = spread(vacancy(spark, sf_dir).select("rec_id", "source", "title", "company", "location", "workplace_model", "published_at", "canonical_url", "match_labels"))
     best = F.when(F.lower("canonical_url").rlike(r"^https?://[^/]*gupy\.io"), 0).otherwise(1)
     return resolve.keep_one(resolve.semantic_clusters(rows, "rec_id"), "rec_id", published(), best).select("rec_id", "match_labels")
 
@@ -550,7 +550,7 @@ def core_terms(spark, sf_dir):
 def fit_case(spark, sf_dir):
     """2.9.1: records classified against a profile."""
     profile = Profile(technologies=PROFILE_TERMS, levels=["junior", "pleno"], places=["sao-paulo-sp", "Paraná", "brasil"], workplaces=["REMOTE", "HYBRID"], bonus=["Docker"])
-    return classified(vacancy(spark, sf_dir), profile).select("rec_id", "fit", "fit_score", "match_labels")
+    return classified(spread(vacancy(spark, sf_dir)), profile).select("rec_id", "fit", "fit_score", "match_labels")
 
 
 @query(r"""select rec_id, coalesce(nullif(regexp_extract(canonical_url, '(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})', 1), ''), nullif(regexp_extract(canonical_url, '[?&](?:jk|jobId|job_id)=([^&#]+)', 1), ''),
