@@ -571,3 +571,32 @@ def csv_view(spark, sf_dir):
     """K5: cells of the plain CSV."""
     rows = vacancy(spark, sf_dir)
     return rows.select("rec_id", spreadsheet_safe(F.col("title")).alias("title"), spreadsheet_safe(F.array_join("match_labels", ";")).alias("match_labels"))
+
+
+@query(f"select count(*) as rows, count(distinct coalesce(canonical_url,'None')) as addresses from vacancy where {FIT} in ('READY','CONDITIONAL') and not coalesce(list_contains(match_labels,'RELEVANCE:OFF_TOPIC'), false) and coalesce(canonical_url,'None') not in (select coalesce(canonical_url,'None') from incoming)")
+def news_count(spark, sf_dir):
+    """Fitting records whose address another table hasn't."""
+    rows = vacancy(spark, sf_dir).where(~L.off_topic(F.col("match_labels")) & L.fit_state(F.col("match_labels")).isin("READY", "CONDITIONAL")).withColumn("u", merge.url_text())
+    seen = table(spark, sf_dir, "incoming").select(merge.url_text().alias("u")).distinct()
+    return rows.join(seen, "u", "left_anti").agg(F.count("*").alias("rows"), F.count_distinct("u").alias("addresses"))
+
+
+@query("select source, count(*) as n from vacancy where published_at is null or company is null or coalesce(length(description_summary), 0) < 1500 group by 1")
+def needs_detail(spark, sf_dir):
+    """Records whose detail page would tell more, by source."""
+    c = F.col
+    needs = c("published_at").isNull() | c("company").isNull() | (F.coalesce(F.length("description_summary"), F.lit(0)) < 1500)
+    return vacancy(spark, sf_dir).where(needs).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("select lang, kind, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1, 2")
+def document_totals(spark, sf_dir):
+    """A2 over the documents: texts and characters by language and kind."""
+    return table(spark, sf_dir, "documents").groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query()
+def table_version(spark, sf_dir):
+    """ST3-ST4: a token of a table's contents."""
+    rows = vacancy(spark, sf_dir)
+    return publish.version(rows, ["rec_id", "canonical_url", "content_hash"])

@@ -218,12 +218,16 @@ def test_publishing(spark, tmp_path):
     with pytest.raises(ValueError):
         publish.swap(rows, path, [F.col("i") > 1])
     assert spark.read.parquet(path).count() == 1
+    tokens = {publish.version(x, ["i", "t"]).first()["token"] for x in (rows, rows.orderBy(F.col("i").desc()), rows.limit(1), rows.limit(0))}
+    assert len(tokens) == 3 and "0" in tokens
     assert publish.fingerprint(rows).select("content_hash").distinct().count() == 2
     full = spark.createDataFrame([rec(1, url="u", labels=["FIT:READY"])], REC).selectExpr("*", "'REMOTE' workplace_model", "null seniority", "array('Java') technologies", "'Brasil' remote_scope")
     tracking = spark.createDataFrame([("u", "SAVED", "=n", "2026"), ("u", "APPLIED", "-n", "2027")], "canonical_url string, status string, note string, updated_at string")
     view = publish.export_view(full, tracking)
     assert view.collect()[0]["tracking"] == "APPLIED" and view.collect()[0]["note"] == "'-n" and view.collect()[0]["location"] == "Brasil"
     assert publish.people_csv(view).startswith(b"\xef\xbb\xbffit;") and "| READY |" in publish.markdown(view, "Jobs", {"a": "b"})
+    live = full.withColumn("match_labels", F.array(F.lit("FIT:READY"), F.lit("LINK:LIVE")))
+    assert publish.verified(full.unionByName(live)).count() == 1
     import io
     import zipfile
 
