@@ -174,3 +174,25 @@ def test_linked_operator_and_shards(spark):
     few = names.matched(told.select("spelled").where("spelled is not null").distinct(), off, shard=10)
     assert {(r["spelled"], r["company_id"]) for r in few.collect()} >= {("zataris consultoria", 1), ("Tigatem", 3), ("Banco Tigatem", 3)}
     assert names.linked(told.limit(0), off).count() == 0 and names.linked(told, off.limit(0)).count() == 0
+
+
+def linked(spark, rows):
+    frame = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(rows)], VACANCY)
+    return {(r["a"], r["b"]) for r in near.record_pairs(*near.near_duplicates(frame, "rec_id", "title", "company", "description_summary")).collect()}
+
+
+def alike(rows):
+    sets = [words(t) for t in rows]
+    return {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+
+
+def test_hot_family_with_own_words(spark):
+    rnd = random.Random(5)
+    base, rows = [f"comum{i}" for i in range(80)], []
+    for i in range(200):
+        w = list(base)
+        for k in range(4):
+            w.insert(rnd.randrange(len(w)), f"proprio{i}x{k}")
+        rows.append(" ".join(w))
+    expected = alike(rows)
+    assert len(expected) == 19900 and linked(spark, rows) == expected
