@@ -196,3 +196,12 @@ def test_hot_family_with_own_words(spark):
         rows.append(" ".join(w))
     expected = alike(rows)
     assert len(expected) == 19900 and linked(spark, rows) == expected
+
+
+def test_a_run_is_searched_whatever_its_words_count(spark):
+    run = " ".join(f"comum{i}" for i in range(8))
+    rows = [(i, None, None, " ".join(f"outro{i}x{k}" for k in range(90)) + " " + run) for i in range(12)]
+    frame = spark.createDataFrame(rows, VACANCY)
+    index, seen, _ = near.corpus_counts(frame, ["title", "company", "description_summary"])
+    places = [set(r["places"]) for r in near.prepared(frame, "rec_id", "title", "company", "description_summary", (index, seen * 0 + 10**6, 10**7), near.Settings()).collect()]
+    assert all(a & b for a in places for b in places)
