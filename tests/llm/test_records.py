@@ -205,3 +205,13 @@ def test_a_run_is_searched_whatever_its_words_count(spark):
     index, seen, _ = near.corpus_counts(frame, ["title", "company", "description_summary"])
     places = [set(r["places"]) for r in near.prepared(frame, "rec_id", "title", "company", "description_summary", (index, seen * 0 + 10**6, 10**7), near.Settings()).collect()]
     assert all(a & b for a in places for b in places)
+
+
+def test_same_words_in_another_order(spark):
+    rnd, rows = random.Random(9), []
+    for i in range(6):
+        rest = [f"palavra{i}x{k}" for k in range(150)]
+        run, other = [f"trecho{i}x{k}" for k in range(8)], list(rest)
+        rnd.shuffle(other)
+        rows += [" ".join([*run, *rest, f"so{i}a"]), " ".join([f"so{i}b", *other, *run])]
+    assert linked(spark, rows) == alike(rows) == {(2 * i, 2 * i + 1) for i in range(6)}
