@@ -215,3 +215,13 @@ def test_same_words_in_another_order(spark):
         rnd.shuffle(other)
         rows += [" ".join([*run, *rest, f"so{i}a"]), " ".join([f"so{i}b", *other, *run])]
     assert linked(spark, rows) == alike(rows) == {(2 * i, 2 * i + 1) for i in range(6)}
+
+
+def test_short_record_in_a_longer_one(spark):
+    rnd, rows = random.Random(3), []
+    for i in range(5):
+        own = [f"curto{i}x{k}" for k in range(26)]
+        more = own + [f"longo{i}x{k}" for k in range(17)]
+        rnd.shuffle(more)
+        rows += [" ".join(own), " ".join(more)]
+    assert linked(spark, rows) == alike(rows) == {(2 * i, 2 * i + 1) for i in range(5)}
