@@ -205,7 +205,7 @@ def recency_score(spark, sf_dir):
     return vacancy(spark, sf_dir).select("rec_id", filters.score(published(), now()).alias("score"))
 
 
-_UFS = {uf: name for uf, name in STATES.items() if uf in ("SP", "RJ", "MG", "PR", "GO", "PA")}
+_UFS = STATES
 
 
 @query()

@@ -58,3 +58,10 @@ def test_entry(spark):
 def test_stream_equals_batch(spark):
     batch = {r["user_id"]: r["f"] for r in spark.read.parquet(f"{DATA}/events.parquet").groupBy("user_id").agg({"ts": "min"}).toDF("user_id", "f").collect()}
     assert {r["user_id"]: r["first_seen"] for r in entry.queries()["stream_first_seen_events"](spark, DATA).collect()} == batch
+
+
+def test_location_scope_counts_every_state(spark):
+    from peneira.functions.places import STATES
+    from peneira.plans.reference import location_scope
+
+    assert sorted(r["state"] for r in location_scope(spark, "/root/testdata/sf0.001").collect()) == sorted(STATES)
