@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peneira.llm import glyphs, history, mixing, names, near, packing, residue, splitting, survivor, tokens
 from peneira.operators.components import connected
 from peneira.operators.timestamps import instants
-from peneira.session import staged, table
+from peneira.session import released, staged, table
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -45,16 +45,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, root): the vacancy rows linked by p1 and the group each belongs to."""
     members, links = _near(spark, sf_dir)
+    kept = staged(members, "members")
     roots = connected(links.select("a", "b"))
-    several = members.groupBy("class").agg(F.count("*").alias("n"))
-    named = members.join(roots.withColumnRenamed("node", "class"), "class", "left").join(several, "class")
+    released(members)
+    several = kept.groupBy("class").agg(F.count("*").alias("n"))
+    named = kept.join(roots.withColumnRenamed("node", "class"), "class", "left").join(several, "class")
     return named.where("root is not null or n > 1").select(F.col("rec").alias("rec_id"), F.coalesce("root", "class").alias("root"))
 
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dim = table(spark, sf_dir, "vacancy"), table(spark, sf_dir, "source_dim")
     dated = instants(rows, dim, "rec_id", {"published_at": False}, "observed_at")
-    return survivor.survivors(staged(survivor.measured(rows, _groups(spark, sf_dir), dated, dim), "measured"))
+    return survivor.survivors(survivor.measured(rows, _groups(spark, sf_dir), dated, dim))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

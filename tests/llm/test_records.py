@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import unicodedata
@@ -87,18 +88,50 @@ def test_survivors(spark):
     assert survivor.survivors(spark.createDataFrame([], SCORED)).count() == 0
 
 
+def brute_choice(options):
+    """The best choice by trying all: least lack of place, rank, age, shortness, disagreement, rank of the place and number of records."""
+    best = None
+    somewhere = any(o.place is not None for o in options)
+    for o, d, t, g in itertools.product(options, repeat=4):
+        if (somewhere and g.place is None) or (not somewhere and g.rec != o.rec) or o.place not in (None, g.place):
+            continue
+        astray = sum(x.place not in (None, g.place) for x in (d, t))
+        choice = (int(not somewhere), o.rank, d.age, t.short, astray, g.rank, len({o.rec, d.rec, t.rec, g.rec}))
+        best = choice if best is None else min(best, choice)
+    return best
+
+
 def test_branch_and_bound_is_optimal():
     rnd = random.Random(2)
-    for _ in range(300):
-        c = sorted((rnd.randint(1, 9), i, rnd.choice([None, "a", "b", "c"])) for i in range(rnd.randint(1, 7)))
-        origin, place = survivor.branch_and_bound(c)
-        by = {i: (r, w) for r, i, w in c}
-        stated = [i for _, i, w in c if w is not None]
-        if not stated:
-            assert origin == place == c[0][1]
-            continue
-        assert by[origin][1] in (None, by[place][1])
-        assert by[origin][0] + by[place][0] == min(by[o][0] + by[p][0] for o in by for p in stated if by[o][1] in (None, by[p][1]))
+    for _ in range(400):
+        c = [survivor.Option(rnd.randint(1, 3), -rnd.randint(0, 3), -rnd.randint(0, 3), i, rnd.choice([None, "a", "b", "c"])) for i in range(rnd.randint(1, 7))]
+        got = survivor.branch_and_bound(c)
+        assert got[:7] == brute_choice(c)
+        by = {o.rec: o for o in c}
+        o, d, t, g = (by[r] for r in got[7:])
+        assert o.place in (None, g.place) and (d.age, t.short) == survivor.bounds(c)[2:]
+
+
+def test_survivors_of_random_groups(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        place = rnd.choice([None, "a", "b", "c", "d", "e"])
+        rows.append((i // 6 if i < 480 else 999, i, rnd.randint(1, 2), rnd.randint(0, 1), rnd.randint(0, 2), place is not None, place))
+    frame = spark.createDataFrame(rows + rows[:50], SCORED)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    for options in (4096, 2):  # one task a group, and groups over several tasks
+        got = {r["root"]: r for r in survivor.survivors(frame, options).collect()}
+        assert set(got) == set(groups)
+        for root, members in groups.items():
+            unbettered = [r[1] for r in members if not any(o[2] < r[2] or o[3] > r[3] or o[4] > r[4] or o[5] > r[5] for o in members)]
+            assert got[root]["whole"] == min(unbettered, default=None)
+            by = {r[1]: r for r in members}
+            assert by[got[root]["dated"]][3] == max(r[3] for r in members) and by[got[root]["text"]][4] == max(r[4] for r in members)
+            place = by[got[root]["place"]][6]
+            assert by[got[root]["origin"]][6] in (None, place) and (place is not None) == any(r[5] for r in members)
 
 
 def test_built_record(spark):
