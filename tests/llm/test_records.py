@@ -159,6 +159,57 @@ def test_history(spark):
     assert {r["rec"] for r in history.deduplicated(old.limit(0), frame, "rec_id", "batch_no").collect()} == {108, 109, 112}
 
 
+def test_history_by_batches(spark, tmp_path):
+    """Batches one by one against the store give what all at once give; near-equal texts are found by band and signature."""
+    text = lambda i: f"https://portal.example/empresa-de-tecnologia-e-dados/vagas/analista-de-sistemas-pleno-{i:09d}-sao-paulo"
+    cols = "rec_id bigint, source string, source_job_id string, canonical_url string, content_hash string, batch_no int"
+    rnd = random.Random(4)
+    rows = [(i, "s", None, text(rnd.randrange(120)), None, i // 50) for i in range(200)]
+    frame = spark.createDataFrame(rows, cols)
+    expected, seen = {}, {}
+    for i, _, _, url, _, _ in rows:
+        if url in seen:
+            expected[i] = seen[url]
+        seen.setdefault(url, i)
+    whole = {r["rec"]: r["first"] for r in history.deduplicated(frame.limit(0), frame, "rec_id", "batch_no").collect()}
+    assert whole == expected
+    store, found = history.Store(spark, str(tmp_path / "store")), {}
+    for number in range(4):
+        keys = history.identity_keys(frame.where(F.col("batch_no") == number), "rec_id", F.lit(number))
+        buckets = [r["bucket"] for r in keys.select("bucket").distinct().collect()]
+        store.append(keys)
+        found |= {r["rec"]: r["first"] for r in store.probe(keys, buckets).collect()}
+    assert found == expected
+    one = history.identity_keys(frame.where("rec_id = 7"), "rec_id", F.lit(99))
+    buckets = [r["bucket"] for r in one.select("bucket").distinct().collect()]
+    folders = {r[0].rsplit("/", 2)[1] for r in store.matching(buckets).select(F.input_file_name()).distinct().collect()}
+    assert len(buckets) <= history.BANDS and folders == {f"bucket={b}" for b in buckets}
+    near = spark.createDataFrame([(1000, "s", None, text(5) + "-vaga-nova-aberta", None, 9), (1001, "s", None, "https://outro.example/job/777777777", None, 9)], cols)
+    store.append(history.identity_keys(spark.createDataFrame([(500, "s", None, text(5) + "-vaga-nova-abertas", None, 8)], cols), "rec_id", F.lit(8)))
+    keys = history.identity_keys(near, "rec_id", F.lit(9))
+    assert store.probe(keys, list(range(history.BUCKETS))).count() == 0
+    assert {r["rec"] for r in store.probe(keys, list(range(history.BUCKETS)), 0.75).collect()} <= {1000}
+
+
+def test_minwise_equals_brute_force():
+    texts = ["abcdefg", "abc", "xabcdefgx", "é", "abcdefg"]
+    import pyarrow as pa
+
+    from peneira.llm.glyphs import code_points
+
+    got = history.minwise(*code_points(pa.array(texts)))
+    assert (got[0] == got[4]).all() and not (got[0] == got[1]).any()
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    grams = lambda t: [t[i : i + 4] for i in range(len(t) - 3)]
+    rnd, miss = random.Random(1), []
+    for _ in range(60):
+        a = "".join(rnd.choice("abcdefghij") for _ in range(40))
+        b = a[:20] + "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 15)))
+        x, y = history.minwise(*code_points(pa.array([a, b])))
+        miss.append((x == y).mean() - share(grams(a), grams(b)))
+    assert abs(sum(miss) / len(miss)) < 0.05
+
+
 REF = [(1, "Zataris Consultoria EIRELI"), (2, "Zataris Energia"), (3, "Banco Tigatem"), (4, "Instituto Tocrinur de Digital S.A."), (5, "Lucrigraris Engenharia Ltda."), (6, "Tozamim Saúde e Serviços EIRELI"), (7, "Sapeprand Telecom")] + [
     (10 + i, f"{w} {s}") for i, (w, s) in enumerate((w, s) for w in ("Velarar", "Nojagask", "Medoxax", "Rorezil", "Pefexath", "Gutusano") for s in ("Consultoria", "Energia", "Digital", "Engenharia", "Telecom"))
 ]
