@@ -41,8 +41,21 @@ OTHER_SCRIPTS = [(0x370, 0x400), (0x400, 0x530), (0x531, 0x590), (0x1F00, 0x2000
 HYPHENS = "‐‑­֊﹣－"
 # Invisible characters that are not of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
-JOINER, SELECTORS = 0x200D, (0xFE00, 0xFE10)
-LIMIT = 0x30000
+JOINER, SELECTORS, TAGS = 0x200D, (0xFE00, 0xFE10), (0xE0020, 0xE0080)
+# Tables hold the code points below LIMIT one by one. Above lie letters of further planes, one block of format characters
+# and selectors, and code points for private use or none; places() maps all of them to slots behind LIMIT.
+LIMIT, SPECIAL = 0x30000, (0xE0000, 0xE1000)
+LETTER_SLOT, PRIVATE_SLOT, SPECIAL_SLOT = LIMIT, LIMIT + 1, LIMIT + 2
+SLOTS = SPECIAL_SLOT + SPECIAL[1] - SPECIAL[0]
+
+
+def places(cps: np.ndarray) -> np.ndarray:
+    """The place of each code point in the tables."""
+    if not len(cps) or int(cps.max()) < LIMIT:
+        return cps
+    special = (cps >= SPECIAL[0]) & (cps < SPECIAL[1])
+    letter = (cps >= LIMIT) & (cps < 0x40000)
+    return np.where(cps < LIMIT, cps, np.where(special, cps - np.uint32(SPECIAL[0] - SPECIAL_SLOT), np.where(letter, LETTER_SLOT, PRIVATE_SLOT))).astype(np.uint32)
 LATIN, OTHER = 1, 2
 WORD, MARK, ODD, LETTER_BITS = 1 << 31, 1 << 30, 1 << 29, (1 << 21) - 1
 
@@ -53,15 +66,18 @@ class Tables:
     info packs what most texts need into one gather: the folded base letter, and the bits WORD, MARK and ODD (not plain)."""
 
     def __init__(self) -> None:
-        n = LIMIT
-        self.size, self.first = np.ones(n + 1, np.int16), np.zeros(n + 1, np.int64)
-        self.ccc, self.script = np.zeros(n + 1, np.uint8), np.zeros(n + 1, np.uint8)
-        self.letter, self.emoji, self.plain = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.ones(n + 1, bool)
-        self.twin, self.base = np.zeros(n + 1, np.uint32), np.arange(n + 1, dtype=np.uint32)
-        self.word = np.zeros(n + 1, bool)
+        n = SLOTS
+        self.size, self.first = np.ones(n, np.int16), np.full(n, -1, np.int64)
+        self.ccc, self.script = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        self.letter, self.emoji, self.plain = np.zeros(n, bool), np.zeros(n, bool), np.ones(n, bool)
+        self.twin, self.base = np.zeros(n, np.uint32), np.arange(n, dtype=np.uint32)
+        self.word = np.zeros(n, bool)
+        self.letter[LETTER_SLOT] = self.word[LETTER_SLOT] = True
+        for cp in range(*SPECIAL):  # tags, selectors and what is reserved for such: invisible, all of them
+            self.size[cp - SPECIAL[0] + SPECIAL_SLOT], self.plain[cp - SPECIAL[0] + SPECIAL_SLOT] = 0, False
         data: list[int] = []
         pairs: dict[int, int] = {}
-        for cp in range(n):
+        for cp in range(LIMIT):
             if 0xD800 <= cp < 0xE000 or 0x3400 < cp < 0x9FFF or 0x20000 <= cp < 0x2F800 or 0xE000 <= cp < 0xF900:
                 self.letter[cp] = self.word[cp] = not (0xD800 <= cp < 0xE000 or 0xE000 <= cp < 0xF900)
                 self.first[cp] = -1
@@ -135,9 +151,7 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def info_of(cps: np.ndarray) -> np.ndarray:
     """The packed properties of code points."""
-    if len(cps) and int(cps.max()) > LIMIT:
-        cps = np.minimum(cps, LIMIT)
-    return tables().info[cps]
+    return tables().info[places(cps)]
 
 
 def to_arrow(cps: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -176,10 +190,10 @@ def plain_form(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _transform(cps: np.ndarray, row: np.ndarray, n: int, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(cps, LIMIT)
+    at = places(cps)
     size = t.size[at].astype(np.int64)
     # A joiner or selector that belongs to an emoji is part of it.
-    part = (cps == JOINER) | ((cps >= SELECTORS[0]) & (cps < SELECTORS[1]))
+    part = (cps == JOINER) | ((cps >= SELECTORS[0]) & (cps < SELECTORS[1])) | ((cps >= TAGS[0]) & (cps < TAGS[1]))
     if part.any():
         k = np.flatnonzero(part)
         owner = np.maximum.accumulate(np.where(part, -1, np.arange(len(cps))))[k]
@@ -200,7 +214,7 @@ def _transform(cps: np.ndarray, row: np.ndarray, n: int, t: Tables) -> tuple[np.
 def _latin(cps: np.ndarray, row: np.ndarray, n: int, t: Tables) -> np.ndarray:
     """Look-alikes to Latin letters. A word with a Latin letter is Latin text; so is a word of nothing but look-alikes of
     two scripts, or in a value that has Latin letters elsewhere. A word wholly in another script stays."""
-    at = np.minimum(cps, LIMIT)
+    at = places(cps)
     script = t.script[at]
     if not (script == OTHER).any():
         return cps
@@ -226,7 +240,7 @@ def _latin(cps: np.ndarray, row: np.ndarray, n: int, t: Tables) -> np.ndarray:
 
 
 def _reorder(cps: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    ccc = t.ccc[np.minimum(cps, LIMIT)]
+    ccc = t.ccc[places(cps)]
     if not ccc.any():
         return cps, row
     start = (ccc == 0) | np.concatenate([[True], row[1:] != row[:-1]])
@@ -244,7 +258,7 @@ def _compose(cps: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, n
     if not len(cps):
         return cps, row
     out = cps.copy()
-    ccc = t.ccc[np.minimum(out, LIMIT)].astype(np.int64)
+    ccc = t.ccc[places(out)].astype(np.int64)
     starter = ccc == 0
     head = np.maximum.accumulate(np.where(starter, np.arange(len(out)), -1))
     gone = np.zeros(len(out), bool)
@@ -262,7 +276,7 @@ def _compose(cps: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, n
             last[h[~hit]] = ccc[now[~hit]]
     out, row = out[~gone], row[~gone]
     while True:  # starters that compose with the starter before them, as Hangul does
-        ccc = t.ccc[np.minimum(out, LIMIT)]
+        ccc = t.ccc[places(out)]
         to = np.where((row[1:] == row[:-1]) & (ccc[1:] == 0) & (ccc[:-1] == 0), _pairs(out[:-1], out[1:], t), 0)
         hit = np.flatnonzero(to)
         if not len(hit):

@@ -49,6 +49,12 @@ def test_plain_form_is_stable_and_rows_keep_apart(texts):
     assert plain(*once) == once
 
 
+def test_code_points_of_all_planes():
+    england = "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f"
+    texts = ["Dev\U000e0061 Java", "Ana\U000e0100lista", "\U00030000\U00031350 ﬁm", england, "a\U0010fffdb\u200b", "\U000e0001x"]
+    assert plain(*texts) == ["Dev Java", "Analista", "\U00030000\U00031350 fim", england, "a\U0010fffdb", "x"]
+
+
 def test_long_rows_and_many_marks():
     long = "a" + "́" * 5000
     assert plain(long, "x" * 1_000_000)[1] == "x" * 1_000_000 and plain(long)[0].startswith("á")
