@@ -17,7 +17,6 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,6 +72,11 @@ def words_of_name(text: str) -> list[str]:
     return kept or out
 
 
+def counted_words(text: str) -> list[str]:
+    """The words of a name that may identify it."""
+    return [w.rstrip(".") for w in words_of_name(text) if w.rstrip(".") not in _BETWEEN]
+
+
 def initials(words: list[str]) -> str:
     return "".join(w[0] for w in words)
 
@@ -113,15 +117,15 @@ class Trie:
             stack.extend((d, child, c, now, row) for d, child in node.items() if d)
         return found
 
-    def under(self, prefix: str, most: int = 2) -> list[str]:
-        """Up to some words that begin with a prefix."""
+    def under(self, prefix: str) -> list[str]:
+        """All words that begin with a prefix."""
         node = self.root
         for c in prefix:
             if c not in node:
                 return []
             node = node[c]
         out, stack = [], [node]
-        while stack and len(out) < most:
+        while stack:
             at = stack.pop()
             out += [at[""]] if "" in at else []
             stack.extend(child for d, child in at.items() if d)
@@ -160,10 +164,13 @@ def alike(word: str, official: str) -> int | None:
 class Book:
     """Official names with their tries."""
 
-    def __init__(self, names: list[tuple[int, str]]):
+    def __init__(self, names: list[tuple[int, str]], common: set[str] | None = None):
+        """common: the words of more than COMMON names of all books, where this is one of several."""
         self.names = {i: n for i, n in names}
-        self.words = {i: [w.rstrip(".") for w in words_of_name(n) if w.rstrip(".") not in _BETWEEN] for i, n in names}
+        self.words = {i: counted_words(n) for i, n in names}
         often = Counter(w for ws in self.words.values() for w in set(ws))
+        if common is not None:
+            often = Counter({w: COMMON + 1 if w in common else 1 for w in often})
         # Words that name an entity; in a name of common words only, all of them do.
         self.own = {i: [w for w in ws if often[w] <= COMMON] or ws for i, ws in self.words.items()}
         self.generic = {w for w, k in often.items() if k > COMMON}
@@ -199,29 +206,28 @@ class Book:
         if len(words) > len(official):
             return None
         table = [[alike(w, o) for o in official] for w in words]
-        own = [official.index(w) for w in self.own[entity]]
-        best = None
-        orders = permutations(range(len(official)), len(words)) if len(official) <= 5 else [self._greedy(table)]
-        for order in orders:
-            total = 0
-            for w, o in enumerate(order):
-                c = table[w][o] if o >= 0 else None
-                if c is None:
-                    break
-                total += c
-            else:
-                if any(o in order and len(words[order.index(o)].rstrip(".")) >= 4 for o in own):
-                    total = 4 * total + 2 * (len(official) - len(words)) + (list(order) != sorted(order))
-                    best = total if best is None else min(best, total)
-        return best
-
-    @staticmethod
-    def _greedy(table: list[list[int | None]]) -> list[int]:
-        order: list[int] = []
-        for row in table:
-            free = [(c, o) for o, c in enumerate(row) if c is not None and o not in order]
-            order.append(min(free)[1] if free else -1)
-        return order
+        own = {official.index(w) for w in self.own[entity]}
+        # Of equal official words the first free one is taken.
+        before = [next((k for k in range(o - 1, -1, -1) if official[k] == w), None) for o, w in enumerate(official)]
+        long_ = [len(w.rstrip(".")) >= 4 for w in words]
+        # By word: for each set of official words taken, whether an identifying one is among them by a long word, and
+        # whether the order was kept, the least sum of costs. What differs in nothing else is one state, so all orders of
+        # any number of words are covered.
+        states: dict[tuple[int, bool, int], int] = {(0, False, -1): 0}
+        for w, row in enumerate(table):
+            following: dict[tuple[int, bool, int], int] = {}
+            for (taken, named, last), total in states.items():
+                for o, c in enumerate(row):
+                    if c is None or taken >> o & 1 or (before[o] is not None and not taken >> before[o] & 1):
+                        continue
+                    key = (taken | 1 << o, named or (o in own and long_[w]), o if last is not None and last < o else None)
+                    if following.get(key, total + c + 1) > total + c:
+                        following[key] = total + c
+            states = following
+            if not states:
+                return None
+        ends = [4 * total + 2 * (len(official) - len(words)) + (last is None) for (_, named, last), total in states.items() if named]
+        return min(ends, default=None)
 
     def read(self, text: str) -> tuple[int, int] | None:
         """(cost, entity) of the entity a name in plain form means, or None; (cost, -1) if several fit equally well."""
@@ -269,7 +275,7 @@ class Book:
         """Entities by a nickname, the beginning of an identifying word, or initials."""
         stem = next((word[: -len(e)] for e in DIMINUTIVE if word.endswith(e) and len(word) - len(e) >= 4), word)
         if len(stem) >= 4 and (stem != word or len(word) >= 4):
-            begun = self.trie.under(stem, 3)
+            begun = self.trie.under(stem)
             if begun:
                 return {i: 40 for w in begun for i in self.by_own[w]}
         if 2 <= len(word) <= 5:
@@ -280,34 +286,43 @@ class Book:
 def matched(names: DataFrame, official: DataFrame, shard: int = SHARD) -> DataFrame:
     """(spelled, company_id) of the distinct names (spelled) that mean an entity of official (company_id, name).
 
-    Up to shard official names go to the tasks as one book of tries. More are
-    cut into shards, each name is tried in every shard by salted tasks, and the
-    best reading over all shards holds. A reading that two entities share
-    counts for neither. Null, blank and foreign names mean nothing.
+    The official names are sharded by hash into books of tries, as many as it
+    takes to hold shard names each. A task reads a part of the spellings
+    against one book; the best reading over all books holds, and words count
+    as common by all official names, so the shards change no reading but one:
+    a word near to words of two books is compared with both. A reading that two
+    entities share counts for neither. Null, blank and foreign names mean
+    nothing. The driver sees the number of official names and the words of more
+    than COMMON of them, fewer than names / COMMON times the words of one.
     """
     known = official.where("name is not null and company_id is not null").select(F.col("company_id").cast("bigint").alias("company_id"), "name").dropDuplicates(["company_id"])
-    count = known.count()
-    if count <= shard:
-        book_rows = [(r["company_id"], r["name"]) for r in known.collect()]  # at most shard rows
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            book = Book(book_rows)
-            for batch in batches:
-                yield from _read(book, batch.column("spelled"), False)
-
-        return names.mapInArrow(run, "spelled string, cost int, company_id bigint").where("company_id >= 0").select("spelled", "company_id")
-    shards, salts = math.ceil(count / shard), 64
-    left = names.select("spelled", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("spelled"), F.lit(salts)).cast("int").alias("salt"))
-    right = known.select("company_id", "name", F.pmod(F.xxhash64("company_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    shards = max(1, math.ceil(known.count() / shard))
+    listed = known.repartition(shards).mapInArrow(_words_of, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    common = {r["word"] for r in listed.collect()}
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    # As many parts of the spellings as keep all cores busy; each needs a copy of the book it reads against.
+    parts = max(1, math.ceil(2 * cores / shards))
+    left = names.select("spelled", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("spelled"), F.lit(parts)).cast("int").alias("part"))
+    right = known.select("company_id", "name", F.pmod(F.xxhash64("company_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
-        book = Book(list(zip(b.column("company_id").to_pylist(), b.column("name").to_pylist())))
-        parts = [p for chunk in a.to_batches() for p in _read(book, chunk.column("spelled"), True)]
+        book = Book(list(zip(b.column("company_id").to_pylist(), b.column("name").to_pylist())), common)
+        parts = [p for batch in a.to_batches() for p in _read(book, batch.column("spelled"), True)]
         return pa.Table.from_batches(parts, pa.schema([("spelled", pa.string()), ("cost", pa.int32()), ("company_id", pa.int64())]))
 
-    read = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(both, "spelled string, cost int, company_id bigint")
+    # A number of partitions of our own: the adaptive plan would merge parts that are small in bytes but long to read.
+    left, right = (x.repartition(shards * parts, "shard", "part") for x in (left, right))
+    read = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(both, "spelled string, cost int, company_id bigint")
+    if shards == 1:
+        return read.where("company_id >= 0").select("spelled", "company_id")
     best = read.groupBy("spelled").agg(F.min("cost").alias("cost"))
-    return read.join(best, ["spelled", "cost"]).groupBy("spelled").agg(F.min("company_id").alias("company_id"), F.count("*").alias("n")).where("n = 1 and company_id >= 0").select("spelled", "company_id")
+    tied = read.join(best, ["spelled", "cost"]).groupBy("spelled").agg(F.min("company_id").alias("company_id"), F.count("*").alias("n"))
+    return tied.where("n = 1 and company_id >= 0").select("spelled", "company_id")
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([w for n in batch.column("name").to_pylist() for w in set(counted_words(n))], pa.string())], ["word"])
 
 
 def _read(book: Book, column: pa.Array, ties: bool) -> Iterator[pa.RecordBatch]:

@@ -260,6 +260,23 @@ def test_linked_operator_and_shards(spark):
     assert names.linked(told.limit(0), off).count() == 0 and names.linked(told, off.limit(0)).count() == 0
 
 
+def test_names_of_many_words(spark):
+    official = [(1, "Companhia Paranaense Zalver Distribuição Energia Elétrica Serviços Gerais"), (2, "Zalver Gás"), (3, "Um Dois Dois Tres Morvanel Cinco Seis")]
+    book = names.Book(official)
+    assert book.read("servicos gerais energia eletrica distribuicao zalver paranaense") [1] == 1
+    assert book.read("distrib. zalvre paranaense servicos energia gerais eletrica")[1] == 1
+    assert book.read("seis morvanel dois um dois")[1] == 3 and book.read("dois dois dois morvanel") is None
+
+
+def test_shards_read_alike(spark):
+    """Words count as common over all shards: one book and many read the same."""
+    heads = ["Zataris", "Velarar", "Nojagask", "Medoxax", "Rorezil", "Pefexath", "Gutusano", "Tocrinur"]
+    off = spark.createDataFrame([(i * 10 + j, f"{h} {t}") for i, h in enumerate(heads) for j, t in enumerate(("Consultoria", "Energia", "Digital", "Engenharia", "Telecom", "Norte"))], "company_id bigint, name string")
+    told = spark.createDataFrame([(x,) for x in ("Consultoria", "zataris energia", "Energia Zataris", "Zatrais Digital", "Telecom", "Medoxax", "rorezil norte ltda", "Norte")], "spelled string")
+    whole, cut = ({tuple(r) for r in names.matched(told, off, shard=n).collect()} for n in (1000, 7))
+    assert whole == cut and len(whole) == 4
+
+
 def linked(spark, rows):
     frame = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(rows)], VACANCY)
     return {(r["a"], r["b"]) for r in near.record_pairs(*near.near_duplicates(frame, "rec_id", "title", "company", "description_summary")).collect()}
