@@ -16,6 +16,8 @@ import zoneinfo
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 
 US = 1_000_000
 DAY_S = 86_400
@@ -80,10 +82,11 @@ def _words() -> dict[str, tuple[str, int]]:
 WORDS = _words()
 
 _DATE = r"(?:(?P<y>y)[-/.](?P<mo>d)[-/.](?P<da>d)|(?P<n1>d)[-/.](?P<n2>d)[-/.](?P<ny>y)|(?P<td>d)(?: e)?[ -](?P<tm>[MA])\.?,?(?: e)?[ -](?P<ty>y)|(?P<um>[MA])\.? (?P<ud>d),? (?P<uy>y)|(?P<ymd>D))"
-_TIME = r"(?:(?P<h>d)(?::(?P<mi>d)(?::(?P<s>d)(?:[.,](?P<f>[dtyhDsmux]))?)?)?(?: ?(?P<ap>P))?|(?P<hms>[hy]))"
+_TIME = r"(?:(?P<h>d)(?::(?P<mi>d)(?::(?P<s>d)(?:[.,](?P<f>[dtyhDsmuxY]))?)?)?(?: ?(?P<ap>P))?|(?P<hms>[hy]))"
 _ZONE = r"(?: ?(?P<z>z)| ?(?P<sg>[-+])(?:(?P<oh>d)(?::?(?P<om>d))?|(?P<ohm>y)))"
 _NAME = r"(?P<name>\[.*\])"
 ABSOLUTE = re.compile(rf"(?:[eW][:,]? ?)*{_DATE}(?:(?:T|,? e |,? ){_TIME}{_ZONE}?{_NAME}?)?")
+STAMP = re.compile(rf"(?:[eW][:,]? ?)*(?P<stamp>Y){_ZONE}?{_NAME}?")
 EPOCH = re.compile(r"(?P<epoch>[smu])")
 AGE = re.compile(r"(?:e ?)*(?:B (?P<b>[dtyq]) (?P<bu>U)|(?P<a>[dtyq]) (?P<au>U) A|(?P<day>O))")
 
@@ -91,7 +94,7 @@ AGE = re.compile(r"(?:e ?)*(?:B (?P<b>[dtyq]) (?P<bu>U)|(?P<a>[dtyq]) (?P<au>U)
 @lru_cache(maxsize=4096)
 def plan_of(mask: str) -> tuple[str, dict[str, int]] | None:
     """The parse plan of a shape mask: its kind and the run that holds each part; None if it denotes no time."""
-    for kind, form in (("absolute", ABSOLUTE), ("epoch", EPOCH), ("age", AGE)):
+    for kind, form in (("absolute", ABSOLUTE), ("absolute", STAMP), ("epoch", EPOCH), ("age", AGE)):
         if found := form.fullmatch(mask):
             return kind, {k: found.start(k) for k, v in found.groupdict().items() if v is not None}
     return None
@@ -107,6 +110,10 @@ def tzdata_version() -> str:
         return "system"
 
 
+# Weeks from 1970 back to 1850, before which no zone had a time of its own.
+FIRST = -120 * 366 // 7
+
+
 @lru_cache(maxsize=1024)
 def transitions(zone: str) -> tuple[np.ndarray, np.ndarray]:
     """Local seconds from which the next offset holds, and the offsets, one more than the former.
@@ -121,10 +128,11 @@ def transitions(zone: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def offset(at: int) -> int:
-        return int((dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=at)).astimezone(tz).utcoffset().total_seconds())
+        return round((dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=at)).astimezone(tz).utcoffset().total_seconds())
 
-    edges, offsets, step = [], [offset(0)], 7 * DAY_S
-    for at in range(step, 131 * 366 * DAY_S, step):
+    step = 7 * DAY_S
+    edges, offsets = [], [offset(FIRST * step)]
+    for at in range((FIRST + 1) * step, 131 * 366 * DAY_S, step):
         now = offset(at)
         if now != offsets[-1]:
             low, high = at - step, at
@@ -159,8 +167,9 @@ _CLASS = np.arange(256, dtype=np.int64) + 16
 _CLASS[[*range(48, 58)]] = 1
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
 _CLASS[[9, 10, 13, 32]] = 3
-# Digits of a run by their number: d 1-2, t 3, y 4, h 6, D 8, s epoch seconds, m milliseconds, u microseconds, x others.
-_DIGITS = np.array(list("xddtyxhxDssxmmxxu") + ["x"] * 16)
+# Digits of a run by their number: d 1-2, t 3, y 4, h 6, D 8, Y 14 (date and time), s epoch seconds, m milliseconds, u
+# microseconds, x others.
+_DIGITS = np.array(list("xddtyxhxDssxmmYxu") + ["x"] * 16)
 
 
 def _plain(word: bytes) -> str:
@@ -169,12 +178,17 @@ def _plain(word: bytes) -> str:
 
 
 class Shapes:
-    """The runs and shape masks of a batch of texts."""
-
-    def __init__(self, texts: list[bytes]):
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        flat = self.flat = np.frombuffer(b"".join(texts), np.uint8)
-        row = np.repeat(np.arange(len(texts)), lengths)
+    """The runs and shape masks of the texts of an Arrow column of binaries; a null is an empty text."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null(b"") if texts.null_count else texts
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+        raw = texts.buffers()[2] if n else None
+        flat = self.flat = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        lengths = np.diff(self.offsets)
+        row = np.repeat(np.arange(n), lengths)
         cls = _CLASS[flat]
         first = np.ones(len(flat), bool)
         if len(flat):
@@ -193,10 +207,13 @@ class Shapes:
         signs = kind > 15
         codes[signs] = np.array([chr(i) for i in range(256)])[flat[self.start[signs]]]
         self._words(np.flatnonzero(kind == 2), codes)
-        bounds = np.searchsorted(at, np.arange(len(texts) + 1))
+        bounds = np.searchsorted(at, np.arange(n + 1))
         joined, self.row_start = "".join(codes.tolist()), bounds[:-1]
         self.masks = [joined[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
+    def text(self, i: int) -> bytes:
+        return self.flat[self.offsets[i] : self.offsets[i + 1]].tobytes()
+
     def _words(self, runs: np.ndarray, codes: np.ndarray) -> None:
         data = self.flat.tobytes()
         known: dict[bytes, tuple[str, int]] = {}
@@ -211,10 +228,18 @@ class Shapes:
             self.value[runs] = [m[1] for m in meaning]
 
 
-CANONICAL = re.compile(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ")
+def _stripped(column: pa.Array) -> pa.Array:
+    """The column without white space at the ends of its values."""
+    try:
+        return pa.compute.ascii_trim_whitespace(column.cast(pa.string())).cast(pa.binary())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([None if x is None else x.strip() for x in column.to_pylist()], pa.binary())
+
 
+CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 
-def parse(texts: list[bytes], zones: np.ndarray, day_first: np.ndarray, observed: np.ndarray, end_of_day: bool) -> tuple[np.ndarray, np.ndarray]:
+
+def parse(texts: pa.Array | list[bytes], zones: np.ndarray, day_first: np.ndarray, observed: np.ndarray, end_of_day: bool) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds since 1970 UTC of each text and which texts denote an instant.
 
     zones: the zone of each row that names none; day_first: the order of its
@@ -225,12 +250,13 @@ def parse(texts: list[bytes], zones: np.ndarray, day_first: np.ndarray, observed
     out, ok = np.zeros(n, np.int64), np.zeros(n, bool)
     if not n:
         return out, ok
-    shapes = Shapes([t.strip() for t in texts])
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+    shapes = Shapes(_stripped(column))
     groups: dict[str, list[int]] = {}
     for i, mask in enumerate(shapes.masks):
         groups.setdefault(mask, []).append(i)
     for mask, members in groups.items():
-        plan = plan_of(mask) if len(mask) <= 80 else None
+        plan = plan_of(mask)
         if plan is None:
             continue
         rows = np.array(members)
@@ -249,14 +275,17 @@ def parse(texts: list[bytes], zones: np.ndarray, day_first: np.ndarray, observed
             out[rows] = (observed[rows] - count * unit) * US
             ok[rows] = observed[rows] >= 0
         else:
-            out[rows], ok[rows] = _absolute(shapes, mask, part, base, num, zones[rows], day_first[rows], end_of_day, texts, rows)
+            out[rows], ok[rows] = _absolute(shapes, mask, part, base, num, zones[rows], day_first[rows], end_of_day, rows)
     return out, ok
 
 
-def _absolute(shapes, mask, part, base, num, zones, day_first, end_of_day, texts, rows):
+def _absolute(shapes, mask, part, base, num, zones, day_first, end_of_day, rows):
     if "ymd" in part:
         v = num("ymd")
         y, m, d = v // 10_000, v // 100 % 100, v % 100
+    elif "stamp" in part:
+        v = num("stamp") // 1_000_000
+        y, m, d = v // 10_000, v // 100 % 100, v % 100
     elif "n1" in part:
         a, b, y = num("n1"), num("n2"), num("ny")
         m, d = np.where(day_first, b, a), np.where(day_first, a, b)
@@ -269,7 +298,10 @@ def _absolute(shapes, mask, part, base, num, zones, day_first, end_of_day, texts
     zero = np.zeros(len(rows), np.int64)
     timed = "h" in part or "hms" in part
     h, mi, s, us = zero, zero, zero, zero
-    if "hms" in part:
+    if "stamp" in part:
+        v = num("stamp") % 1_000_000
+        h, mi, s = v // 10_000, v // 100 % 100, v % 100
+    elif "hms" in part:
         v = num("hms")
         h, mi, s = (v // 10_000, v // 100 % 100, v % 100) if mask[part["hms"]] == "h" else (v // 100, v % 100, zero)
     elif timed:
@@ -294,7 +326,7 @@ def _absolute(shapes, mask, part, base, num, zones, day_first, end_of_day, texts
         utc = local - sign * (v // 100 * 3600 + v % 100 * 60)
     else:
         if "name" in part:
-            zones = np.array([texts[i].strip().rpartition(b"[")[2].rstrip(b"]").decode("utf-8", "replace") for i in rows], object)
+            zones = np.array([shapes.text(i).rpartition(b"[")[2].rstrip(b"]").decode("utf-8", "replace") for i in rows], object)
         utc = local.copy()
         for zone in set(zones.tolist()):
             mine = zones == zone

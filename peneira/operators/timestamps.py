@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +42,19 @@ def instants(rows: DataFrame, dim: DataFrame, row_id: str, fields: Mapping[str,
             seen = _observed(batch.column("at"))
             for i, name in enumerate(names):
                 column = batch.column(f"v{i}")
-                texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-                us, ok = parse(texts, zone, first, seen, late[i])
+                us, ok = parse(column.cast(pa.binary()), zone, first, seen, late[i])
                 kept = np.flatnonzero(ok)
                 if len(kept):
-                    clean = [CANONICAL.fullmatch(texts[k]) is not None for k in kept.tolist()]
                     picked = pa.array(kept)
-                    yield pa.RecordBatch.from_arrays([ids.take(picked), pa.array([name] * len(kept)), column.take(picked), pa.array(us[kept]), pa.array(clean)], ["row_id", "field", "raw", "utc_us", "canonical"])
+                    raw = column.take(picked)
+                    clean = pa.compute.match_substring_regex(raw, CANONICAL)
+                    yield pa.RecordBatch.from_arrays([ids.take(picked), pa.array([name] * len(kept)), raw, pa.array(us[kept]), clean], ["row_id", "field", "raw", "utc_us", "canonical"])
 
     return joined.mapInArrow(read, RESULT)
 
 
 def _observed(column: pa.Array) -> np.ndarray:
     """Seconds of reference times written with their zone; -1 for none."""
-    texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-    n = len(texts)
-    us, ok = parse(texts, np.full(n, "UTC", object), np.ones(n, bool), np.full(n, -1), False)
+    n = len(column)
+    us, ok = parse(column.cast(pa.binary()), np.full(n, "UTC", object), np.ones(n, bool), np.full(n, -1), False)
     return np.where(ok, us // 1_000_000, -1)

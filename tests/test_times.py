@@ -41,6 +41,8 @@ def one(text: str, zone: str = "UTC", day_first: bool = True, observed: int = -1
         ("Wed, 17 Jun 2026 16:01:49 WEST", "2026-06-17T15:01:49"),
         ("Jul 21, 2026 11:40 AM EDT", "2026-07-21T15:40:00"),
         ("Jul 21, 2026 12:40 AM GMT", "2026-07-21T00:40:00"),
+        ("20240101123000", "2024-01-01T12:30:00"), ("20240101123000Z", "2024-01-01T12:30:00"), ("20240101123000-0300", "2024-01-01T15:30:00"), ("20241301123000", None),
+        ("publicada " * 60 + "em 22/04/2026", "2026-04-22T00:00:00"), ("1950-06-01 12:00 -03:00", "1950-06-01T15:00:00"), ("  2026-06-15\n", "2026-06-15T00:00:00"),
         ("1788928187", "2026-09-09T04:29:47"),
         ("1777348904322", "2026-04-28T04:01:44.322000"),
         ("31/02/2026", None), ("0000-00-00", None), ("2026-13-40T00:00:00Z", None), ("2026-01-01T24:00:00Z", None), ("13:10 PM", None),
@@ -94,3 +96,13 @@ def test_operator_edges(spark):
     assert got[0] == got[1] and got[5][3] and not got[0][3]
     assert got[2][2] == 1_767_330_000_000_000 and got[6][2] == 1_767_225_600_000_000
     assert instants(rows.limit(0), dim, "rec_id", {"first": False}).count() == 0
+
+
+def test_zones_before_1970():
+    assert one("1950-07-01 12:00", zone=LX) == "1950-07-01T11:00:00"  # summer time of that year
+    assert one("1950-01-15 12:00", zone=LX) == "1950-01-15T12:00:00"
+    for zone in (NY, SP, LX):
+        tz = zoneinfo.ZoneInfo(zone)
+        for year in range(1915, 1970, 5):
+            at = dt.datetime(year, 7, 3, 12, tzinfo=tz).astimezone(dt.UTC).replace(tzinfo=None)
+            assert one(f"{year}-07-03 12:00", zone=zone) == at.isoformat(), (zone, year)
