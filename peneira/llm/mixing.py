@@ -3,8 +3,9 @@
 Weights are propagated through a tree of domains, languages and sources. A
 source that can't reach its share, all its documents used as often as allowed,
 leaves a shortage; it goes to siblings with room first, then to the other
-languages of the domain, then to the other domains. Each leaf then takes whole
-epochs of its documents and, of one more epoch in seeded order, the prefix that
+languages of the domain, then to the other domains. A source that has documents
+in several languages has a leaf in each, by the share of its tokens; so its
+documents' own languages make the tree. Each leaf then takes whole epochs of its documents and, of one more epoch in seeded order, the prefix that
 comes nearest to its budget.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from peneira.session import staged
+
 # Slices of a source's seeded order: only one slice of each source is looked at document by document.
 SLICES = 4096
 
@@ -85,29 +88,40 @@ def budgets(leaves: Sequence[tuple[Sequence[str], float, float, float]]) -> list
 
 
 def leaf_report(sized: DataFrame, targets: DataFrame, tree: DataFrame) -> DataFrame:
-    """One row per source of targets: (source, domain, language, weight, max_repeat, docs, tokens, target, capacity, budget, short).
-
-    sized: (doc_id, tokens, source); targets: (source, weight, max_repeat);
-    tree: (source, domain, language), null parts count as ''. The mixture is as
-    large as the whole corpus: documents of sources without a target count in
-    its size. A source without documents has no tokens and is short unless its
-    weight is 0; documents of a null source belong to none. Targets repeated for a source count once, the first
-    by weight. The driver handles one line per source of targets.
+    """One row per leaf: (source, domain, language, weight, max_repeat, docs, tokens, target, capacity, budget, short).
+
+    sized: (doc_id, tokens, source, lang); targets: (source, weight,
+    max_repeat); tree: (source, domain); null parts count as ''. A leaf is a
+    source in one language; weight is that of the source, target the leaf's
+    part of the source's by its tokens. short: the budgets of all the source's
+    leaves, after the tree has settled, stay below the target. The mixture is
+    as large as the whole corpus: documents of sources without a target count
+    in its size. A source without documents is one leaf without tokens and
+    short unless its weight is 0; documents of a null source belong to none.
+    Targets repeated for a source count once, the first by weight. The driver
+    handles one line for each source of targets and language.
     """
     spark = sized.sparkSession
     wanted = targets.where("source is not null").groupBy("source").agg(F.min(F.struct("weight", "max_repeat")).alias("t")).select("source", "t.*")
-    places = tree.groupBy("source").agg(F.min(F.struct(F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("language", F.lit("")).alias("language"))).alias("p")).select("source", "p.*")
-    used = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    places = tree.groupBy("source").agg(F.min(F.coalesce("domain", F.lit(""))).alias("domain"))
+    used = staged(sized.groupBy("source", F.coalesce("lang", F.lit("")).alias("language")).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "leaves")
     total = used.agg(F.sum("tokens").alias("t")).first()["t"] or 0
-    rows = wanted.join(used, "source", "left").join(places, "source", "left").orderBy("source").collect()
+    rows = wanted.join(used, "source", "left").join(places, "source", "left").orderBy("source", "language").collect()
+    whole: dict[str, int] = {}
+    for r in rows:
+        whole[r["source"]] = whole.get(r["source"], 0) + (r["tokens"] or 0)
     leaves = []
     for r in rows:
         tokens, weight = r["tokens"] or 0, r["weight"] or 0.0
-        leaves.append(((r["domain"] or "", r["language"] or "", r["source"]), weight, float(tokens * (r["max_repeat"] or 0)), weight * total))
+        part = tokens / whole[r["source"]] if whole[r["source"]] else 1.0
+        leaves.append(((r["domain"] or "", r["language"] or "", r["source"]), weight * part, float(tokens * (r["max_repeat"] or 0)), weight * part * total))
     given = budgets(leaves)
+    reached: dict[str, float] = {}
+    for r, budget in zip(rows, given):
+        reached[r["source"]] = reached.get(r["source"], 0.0) + budget
     out = [
-        (r["source"], path[0], path[1], weight, int(r["max_repeat"] or 0), int(r["docs"] or 0), int(r["tokens"] or 0), target, capacity, budget, capacity < target)
-        for r, (path, weight, capacity, target), budget in zip(rows, leaves, given)
+        (r["source"], path[0], path[1], float(r["weight"] or 0), int(r["max_repeat"] or 0), int(r["docs"] or 0), int(r["tokens"] or 0), target, capacity, budget, reached[r["source"]] < (r["weight"] or 0) * total * (1 - 1e-9))
+        for r, (path, _, capacity, target), budget in zip(rows, leaves, given)
     ]
     return spark.createDataFrame(out, "source string, domain string, language string, weight double, max_repeat int, docs bigint, tokens bigint, target double, capacity double, budget double, short boolean")
 
@@ -120,33 +134,36 @@ def _order(seed: int, epoch: Column) -> Column:
 def mixture(sized: DataFrame, report: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source, tokens, times) of the documents used at least once.
 
-    Every document of a source is used as often as whole epochs fit the budget;
+    Every document of a leaf is used as often as whole epochs fit the budget;
     of the next epoch, in the order of a seeded hash, those of the prefix whose
     end comes nearest to the budget once more. No document is used more than
     max_repeat times. Prefix sums are taken over slices of the hash first, so
-    no source is ordered in one task. Repeated rows are documents of their own.
+    no source is ordered in one task: document by document only the one slice
+    of each leaf is ordered in which its budget ends. Repeated rows are
+    documents of their own.
     """
-    plan = report.where("tokens > 0").select(
-        "source", F.floor(F.col("budget") / F.col("tokens") + 1e-12).cast("int").alias("whole"), "max_repeat", "tokens", "budget"
-    ).select("source", F.least("whole", "max_repeat").alias("whole"), (F.col("budget") - F.least("whole", "max_repeat") * F.col("tokens")).alias("rest"), (F.col("whole") < F.col("max_repeat")).alias("more"))
-    numbered = sized.where("tokens > 0").groupBy("doc_id", "source", "tokens").agg(F.count("*").alias("copies"))
-    docs = numbered.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("row")).join(plan, "source")
+    whole = F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-12).cast("int"), F.col("max_repeat"))
+    plan = report.where("tokens > 0").select("source", "language", whole.alias("whole"), F.when(whole < F.col("max_repeat"), F.col("budget") - whole * F.col("tokens")).otherwise(0.0).alias("rest"))
+    keys = ["source", "language"]
+    numbered = sized.where("tokens > 0").groupBy("doc_id", "source", F.coalesce("lang", F.lit("")).alias("language"), "tokens").agg(F.count("*").alias("copies"))
+    docs = numbered.select("doc_id", *keys, "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("row")).join(plan, keys)
     placed = docs.withColumn("order", _order(seed, F.col("whole"))).withColumn("slice", F.shiftrightunsigned("order", 52).cast("int") % SLICES)
-    slices = placed.groupBy("source", "slice").agg(F.sum("tokens").alias("n"))
-    before = slices.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    known = placed.join(before, ["source", "slice"])
-    inside = known.where(F.col("more") & (F.col("start") + F.col("n") <= F.col("rest"))).select("doc_id", "source", "tokens", "row")
-    edge = known.where(F.col("more") & (F.col("start") < F.col("rest")) & (F.col("start") + F.col("n") > F.col("rest")))
-    ends = F.col("start") + F.sum("tokens").over(Window.partitionBy("source", "slice").orderBy("order", "doc_id", "row"))
+    slices = placed.groupBy(*keys, "slice").agg(F.sum("tokens").alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = placed.join(slices.withColumn("start", start), [*keys, "slice"])
+    edge = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("n") > F.col("rest"))
+    away = known.where(~edge).withColumn("extra", (F.col("start") + F.col("n") <= F.col("rest")).cast("int"))
+    end = F.col("start") + F.sum("tokens").over(Window.partitionBy(*keys, "slice").orderBy("order", "doc_id", "row"))
     # A document that crosses the budget is in if that is nearer than to stop before it.
-    at_edge = edge.withColumn("end", ends).where(F.col("end") - F.col("rest") <= F.col("tokens") / 2).select("doc_id", "source", "tokens", "row")
-    again = inside.unionAll(at_edge).withColumn("extra", F.lit(1))
-    return docs.join(again, ["doc_id", "source", "tokens", "row"], "left").select("doc_id", "source", "tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("times")).where("times > 0")
+    within = known.where(edge).withColumn("extra", (end - F.col("rest") <= F.col("tokens") / 2).cast("int"))
+    every = away.unionByName(within).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("times"))
+    return every.where("times > 0")
 
 
 def shares(mixed: DataFrame, report: DataFrame) -> DataFrame:
     """(source, weight, reached, used_tokens, largest_times, short) as the mixture reached them."""
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("used"), F.max("times").alias("most"))
     total = mixed.agg(F.sum(F.col("tokens") * F.col("times")).alias("t")).first()["t"] or 0
-    got = report.join(used, "source", "left").select("source", "weight", F.coalesce("used", F.lit(0)).alias("used_tokens"), F.coalesce("most", F.lit(0)).alias("largest_times"), "short")
+    told = report.groupBy("source").agg(F.max("weight").alias("weight"), F.bool_or("short").alias("short"))
+    got = told.join(used, "source", "left").select("source", "weight", F.coalesce("used", F.lit(0)).alias("used_tokens"), F.coalesce("most", F.lit(0)).alias("largest_times"), "short")
     return got.select("source", "weight", (F.col("used_tokens") / F.lit(max(total, 1))).alias("reached"), "used_tokens", "largest_times", "short")

@@ -3,7 +3,8 @@
 The sizes of all items make a histogram with at most as many lines as the
 largest capacity, whatever the corpus. Variable-capacity best-fit runs on the
 histogram: sizes from large to small, each into the tightest open containers
-that take it, new containers of the size that costs least; at the end each
+that take it, new containers of the size that costs least for what it can be
+filled with from all that is left; at the end each
 container shrinks to the least permitted capacity that holds its contents. The
 plan says which ranks of which size go to which containers; the items, ranked
 within their size by distributed counts, look their container up.
@@ -11,6 +12,7 @@ within their size by distributed counts, look their container up.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
 
@@ -25,6 +27,19 @@ from peneira.session import staged
 OVERHEAD = 64
 
 
+def _fill(space: int, ordered: list[int], left: dict[int, int]) -> int:
+    """Tokens that the items left, size -> number, can put into a space: the largest that fits first, and again."""
+    filled, top = 0, len(ordered)
+    while space and top:
+        top = bisect_right(ordered, space, 0, top)
+        if not top:
+            break
+        size = ordered[top - 1]
+        each = min(space // size, left[size])
+        filled, space, top = filled + each * size, space - each * size, top - 1
+    return filled
+
+
 def best_fit_plan(sizes: dict[int, int], capacities: Sequence[int], overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray]:
     """Packs items given as size -> number.
 
@@ -38,7 +53,7 @@ def best_fit_plan(sizes: dict[int, int], capacities: Sequence[int], overhead: in
     ordered = sorted(capacities)
     open_: dict[int, list[tuple[int, tuple, int]]] = {}  # space left -> [(containers, contents, capacity)]
     spaces: list[int] = []
-    left = sum(s * n for s, n in sizes.items())
+    smaller = sorted(s for s, n in sizes.items() if n)
 
     def add(space: int, number: int, contents: tuple, capacity: int) -> None:
         if number:
@@ -75,8 +90,10 @@ def best_fit_plan(sizes: dict[int, int], capacities: Sequence[int], overhead: in
             for number, contents, capacity in lines:
                 add(space, number, contents, capacity)
         while n:
-            fitting = [c for c in ordered if c >= size]
-            capacity = min(fitting, key=lambda c: ((c + overhead) / min(c, max(left, 1)), -c))
+            # Cost for each token that the container would hold, filled from this size and the smaller ones; of equal costs
+            # the larger container.
+            now = {**sizes, size: n}
+            capacity = min((c for c in ordered if c >= size), key=lambda c: ((c + overhead) / _fill(c, smaller, now), -c))
             each = capacity // size
             full = n // each
             if full:
@@ -85,7 +102,7 @@ def best_fit_plan(sizes: dict[int, int], capacities: Sequence[int], overhead: in
             else:
                 add(capacity - n * size, 1, ((size, n), ()), capacity)
                 n = 0
-        left -= size * sizes[size]
+        smaller.pop()
         exhausted = open_.pop(0, [])  # full containers take nothing more
         if exhausted:
             done.extend(exhausted)

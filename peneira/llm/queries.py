@@ -107,8 +107,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = staged(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]), "sized")
-    tree = table(spark, sf_dir, "source_dim").select(F.col("code").alias("source"), F.col("kind").alias("domain"), F.col("default_country").alias("language"))
+    sized = staged(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text", ["source", "lang"]), "sized")
+    tree = table(spark, sf_dir, "source_dim").select(F.col("code").alias("source"), F.col("kind").alias("domain"))
     return sized, mixing.leaf_report(sized, table(spark, sf_dir, "mix_target"), tree)
 
 
