@@ -202,6 +202,56 @@ we use cookies to improve your experience
 este site usa cookies
 """
 
+# More exemplars by rule: each line joins every phrase before the bar with every phrase after it.
+COMBINED = """
+the page, this page, the requested page, the page you are looking for, the requested URL | not found, was not found, could not be found, does not exist, doesn't exist, is not available, has been moved
+a página solicitada, a página que você procura, esta página, o conteúdo solicitado, o endereço solicitado | não existe, não foi encontrada, não foi encontrado, não está disponível, foi movida, foi removida
+la página solicitada, la página que busca, esta página, el contenido solicitado | no existe, no fue encontrada, no se encuentra disponible, no está disponible, ha sido movida
+error 500, error 502, error 503, error | internal server error, service unavailable, server error, temporarily unavailable
+erro 500, erro 503, erro | serviço indisponível, erro interno, servidor indisponível, temporariamente indisponível
+you are not authorized to, you do not have permission to, you are not allowed to | access this page, view this page, view this content, access this resource
+você não tem permissão para, você não tem autorização para, você não está autorizado a | acessar esta página, acessar este conteúdo, ver esta página, ver este conteúdo
+no tiene permiso para, no está autorizado a, no tiene autorización para | acceder a esta página, ver esta página, ver este contenido
+access to this page, access to this site, your access | has been denied, is denied, has been blocked, is restricted
+o acesso, seu acesso, acesso | foi negado, foi bloqueado, está bloqueado, não autorizado
+please enable, you must enable, enable, please turn on, turn on, activate | JavaScript, JavaScript in your browser, JavaScript to continue, JavaScript to view this page, scripts in your browser
+habilite, ative, é preciso habilitar, é necessário ativar, você precisa habilitar | o JavaScript, o JavaScript do navegador, o JavaScript para continuar, o JavaScript para ver o conteúdo, os scripts do navegador
+habilite, active, debe habilitar, es necesario activar | JavaScript, JavaScript en su navegador, JavaScript para continuar, los scripts del navegador
+JavaScript | is disabled in your browser, is turned off, is required to view this page, must be enabled, está desativado no seu navegador, está desabilitado, é necessário para ver esta página, está deshabilitado en su navegador, es necesario para ver esta página
+your browser, seu navegador, su navegador | does not support JavaScript, has JavaScript disabled, não suporta JavaScript, está com JavaScript desabilitado, no es compatible con JavaScript, tiene JavaScript deshabilitado
+this site, this page, this application | requires JavaScript, needs JavaScript, requires cookies
+este site, esta página, este aplicativo | requer JavaScript, precisa de JavaScript, exige JavaScript
+este sitio, esta página | requiere JavaScript, necesita JavaScript
+this job, this position, this vacancy, this job posting | has expired, is closed, is no longer available, has been filled, has been removed, is no longer active
+esta vaga, esta oportunidade, o anúncio | expirou, foi encerrada, foi encerrado, não está disponível, foi removida, já foi preenchida
+esta oferta, esta vacante, el aviso | ha expirado, está cerrada, ya no está disponible, fue eliminada
+your session, sua sessão, su sesión | has timed out, expired, expirou, foi encerrada, ha caducado, ha finalizado
+please log in, log in, sign in, please sign in | to view this page, to see this job, to access this content, to apply
+faça login, faça o login, entre na sua conta, acesse sua conta | para ver esta vaga, para visualizar a vaga, para acessar o conteúdo
+inicie sesión, ingrese a su cuenta | para ver esta vacante, para acceder al contenido
+insert, enter, type, add, write, paste | job title here, job description here, the description here, company name here, text here, location here
+insira, digite, escreva, informe, coloque | o título da vaga, a descrição da vaga, a descrição aqui, o texto aqui, o nome da empresa, o título aqui
+escriba, ingrese, inserte, complete | el título del puesto, la descripción aquí, el nombre de la empresa, el texto aquí, la descripción del puesto
+sample, example, dummy, placeholder | text, description, job, title
+texto, descrição, vaga, título | de teste, de exemplo, padrão, provisória
+texto, descripción, aviso | de prueba, de ejemplo, de relleno
+please complete, complete, please solve | the captcha, the security check, the verification
+verify, please verify, confirm, please confirm | you are human, you are not a robot
+confirme que, verifique se, prove que | você é humano, você não é um robô, não é um robô
+verificando, checking, comprobando | seu navegador, a conexão, your connection, the connection, su navegador
+an error occurred, an error has occurred, something went wrong | while loading the page, while processing your request, please try again, try again later
+ocorreu um erro, houve um erro | ao carregar a página, ao processar a solicitação, tente novamente mais tarde, inesperado
+ha ocurrido un error, se produjo un error | al cargar la página, al procesar la solicitud, inténtelo de nuevo
+too many requests, muitas requisições, demasiadas solicitudes | please try again later, tente novamente mais tarde, intente más tarde
+loading, carregando, cargando, please wait, aguarde | please wait, content, o conteúdo, a página, por favor
+this website uses cookies, we use cookies, usamos cookies, utilizamos cookies | to improve your experience, to personalize content, para melhorar sua experiência, para mejorar su experiencia
+to be defined, to be confirmed, to be announced | by HR, by the recruiter, later
+a definir, a confirmar, a preencher | pelo recrutador, pela empresa, pelo RH
+[nome da, [nome do, [título da, [descrição da | empresa], cidade], candidato], vaga]
+[company, [job, [city, [candidate | name], title], description]
+fatal error, parse error, uncaught exception, syntax error | on line 12, in file on line 12, undefined function on line 12
+"""
+
 # Labelled exemplars of texts in which such words belong to the work.
 WORK = """
 marcadores como {x}
@@ -233,13 +283,15 @@ se pide JavaScript avanzado
 
 PLACEHOLDER = "‹slot›"
 COVER, PRECISE, WORKS = 0.8, 0.7, 0.7
+# Containment where a window begins after a mark but not at a passage; words of an exemplar that counts within a sentence.
+MARKED, WITHIN = 0.95, 4
 
 _NAME = r"[\w.\- ]{1,40}"
 _SLOT = (
     rf"\{{\{{[{{#/]?\s*{_NAME}\s*\}}?\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|\{{%-?\s*{_NAME}\s*-?%\}}|<%[=-]?\s*{_NAME}\s*%>|<<\s*{_NAME}\s*>>|&lt;\s*[a-zA-Z_][\w.]*\s*&gt;"
     rf"|<[a-zA-Z_]+[._]?[\w.]*>|\[\[\s*{_NAME}\s*\]\]|__[A-Za-z][\w.]*?__|@@[\w.]+@@|%[A-Za-z_][A-Za-z_.]*[A-Za-z_]%|\{{\s*[a-zA-Z_][\w.]*\s*\}}"
 )
-_TOKEN = re.compile(rf"(?P<slot>{_SLOT})|(?P<cell>#[A-Z/]{{2,5}}[!?]|#N/A)|(?P<ask>\?{{2,}})|(?P<word>[^\W_]+)")
+_TOKEN = re.compile(rf"(?P<slot>{_SLOT})|(?P<cell>#[A-Z/]{{2,5}}[!?]|#N/A|#NAME\?|#DIV/0!)|(?P<ask>\?{{2,}})|(?P<word>[^\W_]+)")
 _STOP = re.compile(r"[.!?…>|\n\r;•](?:\s|$)|[.…]{2,}|\n|^\s*[-•*(\[>]+\s*$")
 _PAUSE = re.compile(r"[^\w\s]|\n")
 
@@ -252,12 +304,14 @@ class Text:
         self.begins: list[bool] = []
         self.ends: list[bool] = []
         self.opened: list[bool] = []
+        self.marked: list[bool] = []
         last = 0
         for found in _TOKEN.finditer(text):
             gap, raw, kind = text[last : found.start()], found[0], found.lastgroup
             first, single = not self.tokens, gap == " "
             self.begins.append(first or (not single and bool(_STOP.search(gap))))
             self.opened.append(gap[-1:] in ("[", "("))
+            self.marked.append(first or (not single and bool(_PAUSE.search(gap))))
             if not first:
                 self.ends.append((not single and bool(_PAUSE.search(gap))) or kind != "word" or not raw[0].islower())
             self.tokens.append(PLACEHOLDER if kind == "slot" else raw.lower() if kind == "cell" else "‹ask›" if kind == "ask" else plain_word(raw))
@@ -276,6 +330,15 @@ def plain_word(raw: str) -> str:
     return word
 
 
+def combined(block: str = COMBINED) -> str:
+    """The lines that the rule makes of the combinations."""
+    out = []
+    for line in block.strip().splitlines():
+        heads, tails = (part.split(", ") for part in line.strip().split(" | "))
+        out += [f"{a.strip()} {b.strip()}" for a in heads for b in tails]
+    return "\n".join(out)
+
+
 def _lines(block: str) -> list[list[str]]:
     out = []
     for line in block.strip().splitlines():
@@ -293,11 +356,14 @@ class Index:
     def __init__(self, counts: dict[str, int], total: int):
         self.counts, self.total = counts, total
         self._idf: dict[str, float] = {}
-        self.residue = [(e, self.weigh(e)) for e in _lines(RESIDUE)]
+        self.residue = [(e, self.weigh(e)) for e in _lines(RESIDUE + combined())]
         self.work = [(e, self.weigh(e)) for e in _lines(WORK)]
         self.by_word: dict[str, list[int]] = defaultdict(list)
+        self.offsets: list[dict[str, list[int]]] = []
         for i, (e, weight) in enumerate(self.residue):
             left = weight
+            bare = e[1:] if e[0] == "‹open›" else e
+            self.offsets.append({w: [k for k, x in enumerate(bare) if x == w] for w in bare})
             for w in sorted(set(e), key=lambda w: -self.idf(w)):  # any match of COVER holds one of these
                 self.by_word[w].append(i)
                 left -= self.idf(w) * e.count(w)
@@ -322,35 +388,60 @@ class Index:
         return sum(self.idf(w) * n for w, n in (Counter(a) & Counter(b)).items())
 
     def is_residue(self, text: str) -> bool:
-        """Whether a passage window of the text is covered by an exemplar of residue and belongs to no exemplar of work."""
+        """Whether a passage window of the text is covered by an exemplar of residue and belongs to no exemplar of work.
+
+        The index gives, for every word of the text, the exemplars it anchors;
+        windows begin where such a word would stand in its exemplar."""
         seen = Text(text)
-        for at, token in enumerate(seen.tokens):
-            if token == PLACEHOLDER and not self._is_work(seen.tokens, at, at + 1):
-                return True
         present = {*seen.tokens, "‹open›"}
-        could = [x for x in (self.residue[i] for i in {i for t in present for i in self.by_word.get(t, ())}) if x[0] != [PLACEHOLDER] and sum(self.idf(w) for w in x[0] if w in present) >= COVER * x[1]]
-        return bool(could) and any(self._matches(seen, could, start) for start, begins in enumerate(seen.begins) if begins or seen.opened[start])
-
-    def _matches(self, seen: Text, could: list[tuple[list[str], float]], start: int) -> bool:
-        """Whether a window that begins here is covered by an exemplar and ends where a passage may end, or where further
-        such windows go on to such an end."""
-        waiting, done = [start], set()
+        could = {i for t in present for i in self.by_word.get(t, ())}
+        could = {i for i in could if sum(self.idf(w) for w in self.residue[i][0] if w in present) >= COVER * self.residue[i][1]}
+        if not could:
+            return False
+        starts: dict[int, set[int]] = {}
+        for at, token in enumerate(seen.tokens):
+            for i in self.by_word.get(token, ()):
+                if i in could:
+                    for place in self.offsets[i][token]:
+                        # One word more or less may stand before the anchor than in the exemplar.
+                        for begin in (at - place - 1, at - place, at - place + 1):
+                            if 0 <= begin <= at:
+                                starts.setdefault(begin, set()).add(i)
+        return any(self._matches(seen, own, could, begin) for begin, own in starts.items())
+
+    def _matches(self, seen: Text, own: set[int], could: set[int], start: int) -> bool:
+        """Whether a window that begins here is covered by one of its own exemplars and ends where a passage may end, or where
+        further windows of any that could be go on to such an end. Where no mark stands before the window, within a
+        sentence, the exemplar must be there word for word and be no single word."""
+        waiting, done = [(start, own)], set()
         while waiting:
-            at = waiting.pop()
+            at, exemplars = waiting.pop()
             if at in done:
                 continue
             done.add(at)
-            for e, weight in could:
+            for i in exemplars:
+                e, weight = self.residue[i]
                 head = ["‹open›"] if at < len(seen.tokens) and seen.opened[at] and e[0] == "‹open›" else []
                 if (e[0] == "‹open›" and not head) or set(e).isdisjoint(seen.tokens[at : at + 2]):
                     continue
+                if e == [PLACEHOLDER]:
+                    if at < len(seen.tokens) and seen.tokens[at] == PLACEHOLDER and not self._is_work(seen.tokens, at, at + 1):
+                        return True
+                    continue
+                begun = seen.begins[at] or seen.opened[at] or at > start if at < len(seen.tokens) else False
+                if not begun and not seen.marked[at]:
+                    stop = at + len(e)
+                    if len(e) >= WITHIN and seen.tokens[at:stop] == e and not self._is_work(seen.tokens, at, stop):
+                        return True
+                    continue
+                cover, precise = (COVER, PRECISE) if begun else (MARKED, MARKED)
                 for stop in range(at + max(1, len(e) - len(head) - 2), min(len(seen.tokens), at + len(e) + 2) + 1):
                     window = head + seen.tokens[at:stop]
                     both = self.shared(e, window)
-                    if both >= COVER * weight and both >= PRECISE * self.weigh(window) and not self._is_work(seen.tokens, at, stop):
+                    if both >= cover * weight and both >= precise * self.weigh(window) and not self._is_work(seen.tokens, at, stop):
                         if seen.ends[stop - 1]:
                             return True
-                        waiting.append(stop)
+                        waiting.append((stop, could))
         return False
 
     def _is_work(self, tokens: list[str], start: int, stop: int) -> bool:
@@ -364,7 +455,7 @@ class Index:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for e in _lines(RESIDUE) + _lines(WORK) for w in e} - SPECIAL)
+    return sorted({w for e in _lines(RESIDUE) + _lines(combined()) + _lines(WORK) for w in e} - SPECIAL)
 
 
 class Lookup:

@@ -107,3 +107,19 @@ def test_flagged_operator(spark):
     assert residue.flagged(rows.limit(0), ["title", "body"]).count() == 0
     counts, total = residue.word_counts(rows, ["title", "body"])
     assert total == 5 and counts["acesso"] == 1 and counts["texto"] == 1
+
+
+@pytest.mark.parametrize("text", [
+    "Sobre a empresa: lorem ipsum dolor sit amet", "Analista de Sistemas – página não encontrada", "Vaga em Recife, acesso negado", 'Descrição "texto de exemplo"', "Requisitos/lorem ipsum",
+    "Somos uma empresa lorem ipsum dolor sit amet líder no setor", "O candidato deve ative o JavaScript no seu navegador e ter boa comunicação",
+])
+def test_residue_within_a_passage(text):
+    assert INDEX.is_residue(text)
+
+
+def test_wordings_outside_the_list():
+    from tests.llm import heldout
+
+    told, clean = heldout.RESIDUE.strip().splitlines(), heldout.CLEAN.strip().splitlines()
+    assert sum(INDEX.is_residue(plain(t)[0]) for t in told) >= 0.7 * len(told)
+    assert not any(INDEX.is_residue(plain(t)[0]) for t in clean)
