@@ -408,7 +408,7 @@ def category_by_source(spark, sf_dir):
     return vacancy(spark, sf_dir).groupBy("source", insight.category().alias("category")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with r as (select rec_id, case {FIT} when 'AMBIGUOUS' then 'little to go by' end as reason from vacancy) select reason, count(*) as n from r where reason is not null group by 1""")
+@query(f"""with r as (select rec_id, case {FIT} when 'AMBIGUOUS' then 'poucos dados para avaliar' end as reason from vacancy) select reason, count(*) as n from r where reason is not null group by 1""")
 def reasons_topk(spark, sf_dir):
     """The told reasons by how often they occur, all of them."""
     told = vacancy(spark, sf_dir).select("rec_id", F.explode(L.reasons(F.col("match_labels"))).alias("reason"))

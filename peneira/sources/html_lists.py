@@ -204,26 +204,22 @@ def details(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(run, "url string, published string, deadline string, company string, text string")
 
 
-# Texts that tell that a page was blocked, and why, in the order in which they are looked for.
-BLOCKS = {
-    "CAPTCHA": ["captcha para continuar", "complete o captcha", "nao sou um robo", "i am not a robot"],
-    "TWO_FACTOR": ["codigo de verificacao em duas etapas", "autenticacao de dois fatores", "two-factor authentication"],
-    "ACTIVITY_ALERT": ["atividade incomum", "atividade suspeita", "unusual activity", "suspicious activity"],
-}
+# Signs of a blocked page in the order in which they count: the reason, where it is read from, the pattern.
+BLOCKS = [
+    ("RATE_LIMITED", "status", "^429$"),
+    ("ACCESS_DENIED", "status", "^40[13]$"),
+    ("LOGIN_REQUIRED", "path", "/(login|signin|sign-in|auth)(/|$)"),
+    ("CAPTCHA", "text", "captcha para continuar|complete o captcha|nao sou um robo|i am not a robot"),
+    ("TWO_FACTOR", "text", "codigo de verificacao em duas etapas|autenticacao de dois fatores|two-factor authentication"),
+    ("ACTIVITY_ALERT", "text", "atividade incomum|atividade suspeita|unusual activity|suspicious activity"),
+    ("TWO_FACTOR", "text", "(?<![a-z0-9])2fa(?![a-z0-9])"),
+]
 
 
 def block_reason(status: Column, url: Column, text: Column) -> Column:
-    """Why a landed response is no page: rate limit, access, login, captcha, second factor, alert; else null."""
-    path = F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1))
-    out = F.when(status == 429, "RATE_LIMITED").when(status.isin(401, 403), "ACCESS_DENIED").when(path.rlike(r"/(login|signin|sign-in|auth)(/|$)"), "LOGIN_REQUIRED")
-    plain = fold(text)
-    for reason, marks in BLOCKS.items():
-        hit = F.lit(False)
-        for mark in marks:
-            hit = hit | plain.contains(mark)
-        out = out.when(hit, reason)
-    return out.when(plain.rlike(r"(?<![a-z0-9])2fa(?![a-z0-9])"), "TWO_FACTOR")
-
+    """Why a landed response is no page, by the first sign of BLOCKS it shows; null if it shows none."""
+    read = {"status": status.cast("string"), "path": F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)), "text": fold(text)}
+    return F.coalesce(*[F.when(read[where].rlike(pattern), F.lit(reason)) for reason, where, pattern in BLOCKS])
 
 
 def job_id(url: Column) -> Column:

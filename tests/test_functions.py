@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peneira.functions import labels, places
 from peneira.functions.text import (
-    clean_company, clean_description, clean_title, company_from_url, fold, fold_exact, fold_value, has_term, html_text, slug, spreadsheet_safe, term_pattern,
+    clean_company, clean_description, clean_title, company_from_title, company_from_url, fold, fold_exact, fold_value, has_term, html_text, slug, spreadsheet_safe, term_pattern,
 )
 from peneira.functions.times_sql import deadline_instant, iso_instant
 from peneira.functions.urls import canonical_url
@@ -80,7 +80,7 @@ def test_labels(spark):
     m = F.col("m")
     got = rows.select(labels.fit_state(m).alias("f"), labels.fit_points(m).alias("p"), labels.boost(m).alias("b"), labels.shown_technologies(F.col("t"), m).alias("t"), labels.reasons(m).alias("r")).collect()
     assert [r["f"] for r in got] == ["READY", "AMBIGUOUS", "AMBIGUOUS"] and [r["p"] for r in got] == [3, 0, 0]
-    assert got[0]["b"] == 10 and got[0]["t"] == ["Java", "SQL"] and got[1]["r"] == ["little to go by"]
+    assert got[0]["b"] == 10 and got[0]["t"] == ["Java", "SQL"] and got[1]["r"] == ["poucos dados para avaliar"]
 
 
 def test_places(spark):
@@ -90,3 +90,43 @@ def test_places(spark):
     assert apply(spark, lambda c: places.in_scope(c, "Paraná"), folded)[2] is True
     assert apply(spark, lambda c: places.in_scope(c, "brasil"), folded)[:4] == [True, True, True, True]
     assert apply(spark, lambda c: F.array_join(places.workplaces(F.lit("UNKNOWN"), c), ","), ["hibrido ou remoto", "presencial", ""]) == ["HYBRID,REMOTE", "ONSITE", ""]
+
+
+def test_cleaned_names(spark):
+    titles = {
+        "Nova Desenvolvedor Java Júnior": "Desenvolvedor Java Júnior", "Desenvolvedor Java Júnior Nova": "Desenvolvedor Java Júnior", "  Desenvolvedor   Java \n Júnior  ": "Desenvolvedor Java Júnior",
+        "Desenvolvedor Java Júnior | Acme Tecnologia": "Desenvolvedor Java Júnior", "Estágio em TI | Vaga afirmativa": "Estágio em TI", "Novo": "Novo", "Desenvolvedor Java | Júnior": "Desenvolvedor Java | Júnior",
+        "Backend Java | Estágio": "Backend Java | Estágio", "Analista de Sistemas Novo Mundo": "Analista de Sistemas Novo Mundo", "Java Developer Nova Scotia": "Java Developer Nova Scotia", "Nova Scotia Java Júnior": "Nova Scotia Java Júnior",
+        "[x] Dev": "[x] Dev", "[12]": "[12]", "Dev (ref. A-9)": "Dev", "Dev (remoto)": "Dev (remoto)", "Dev -123456": "Dev", "Dev | Nível 1": "Dev | Nível 1", "| Dev": "| Dev", "Dev | a | b": "Dev",
+    }
+    assert apply(spark, clean_title, list(titles)) == list(titles.values())
+    names = {
+        "Carreiras SoftExpert": "SoftExpert", "Neogrid Carreiras": "Neogrid", "Vagas na Tokenlab": "Tokenlab", "Vagas Instituto de Pesquisas Eldorado": "Instituto de Pesquisas Eldorado", "Leite de Rosas | Trabalhe Conosco": "Leite de Rosas",
+        "Logo Programa de Estágio Base e Flowa 2027": "Base e Flowa", "Programa de Estágio | Tecon Suape": "Tecon Suape", "Bauducco #vemparaBauducco": "Bauducco", "Tahto - Staff e Executivo #VemSerTahto": "Tahto - Staff e Executivo",
+        "Somos BHS 💚": "BHS", "Venha Ser Consultoria": "Venha Ser Consultoria", "Acme Ltda": "Acme Ltda", "CI&T": "CI&T", "VENHA SER #SANGUELARANJA 🧡🚀": None, "#sejaveriter": None, "   ": None,
+        "Vagas na Carreiras Vagas Carreiras Vagas na Programa de Trainee Acme 2025 2026 2027 2028 carreiras trabalhe conosco": "Acme", "Vagas 2026": None, "2026": None, "– Acme |": "Acme",
+    }
+    assert apply(spark, clean_company, list(names)) == list(names.values())
+    pattern = r"^(\w+) abre Programa|Trainee (\w+) 20"
+    assert apply(spark, lambda c: company_from_title(c, pattern), ["Ingredion abre Programa de Estágio 2027", "R$ 10.000: Trainee Praso 2027 aceita", "Acompanhe: vagas", None]) == ["Ingredion", "Praso", None, None]
+    texts = {
+        "Que tal compartilhar esta vaga? Email WhatsApp X (Twitter) Copiar link Somos a Acme": "Somos a Acme", "Boa vaga. Dicas importantes: leia. Fim": "Boa vaga.", "Texto .classe { color: red } resto": "Texto", "Voltar QA Sênior": "QA Sênior",
+        "Use window.open com cuidado": "Use window.open com cuidado", "x window.foo = 3": "x", "compartilhar vaga": None, "Salvar vaga Quero essa vaga Dev": "Dev",
+    }
+    assert apply(spark, clean_description, list(texts)) == list(texts.values())
+
+
+def test_scopes(spark):
+    assert [places.state_of(s) for s in ("sao-carlos-sp", "sc", "santa-catarina", "Campo Grande, Mato Grosso do Sul", "brasil", "", "Pará de Minas", "remoto brasil", "porto alegre rs")] == ["SP", "SC", "SC", "MS", None, None, None, None, "RS"]
+    folded = ["campinas - sp, brasil", "campinas/sao paulo", "campinas (sp)", "campinas", "americampinas, sp", "camp..., sp", "remoto", "rio grande do sul", "lisboa"]
+    assert apply(spark, lambda c: places.in_scope(c, "campinas-sp"), folded) == [True, True, False, False, False, True, False, False, False]
+    assert apply(spark, lambda c: places.in_scope(c, "brazil"), folded) == [True, True, True, False, True, True, False, True, False]
+    assert apply(spark, lambda c: places.in_scope(c, "rs"), folded) == [False] * 7 + [True, False]
+    assert apply(spark, lambda c: places.in_scope(c, "Lisboa"), folded)[-1] is True and not any(apply(spark, lambda c: places.in_scope(c, ""), folded))
+
+
+def test_duplicate_keys(spark):
+    from peneira.operators.resolve import company_key, title_key
+
+    assert apply(spark, title_key, ["Desenvolvedora Back End Jr (Remoto)", "Dev Backend Junior", "Full Stack", "back front end", None]) == ["desenvolvedor backend junior", "desenvolvedor backend junior", "fullstack", "back frontend", ""]
+    assert apply(spark, company_key, ["Baires Dev", "BairesDev LTDA", "Acme do Brasil S.A.", "SA", "Brasil Brasil", None]) == ["bairesdev", "bairesdev", "acme", "sa", "brasil", ""]
