@@ -146,21 +146,6 @@ def test_status_fold(spark):
     assert {r["source"]: r["status"] for r in got} == {"a": "SUCCESS", "b": "BLOCKED", "c": "PARTIAL", "d": "PARTIAL"}
 
 
-def test_classification(spark):
-    schema = "rec_id int, title string, description_summary string, seniority string, location string, technologies array<string>, requirements array<string>, evidence_snippets array<string>, workplace_model string, company string, match_labels array<string>, fit_note string"
-    rows = [
-        (1, "Dev Java Júnior", "Vaga remota", None, None, [], [], [], "UNKNOWN", "Acme", ["EXTRACTION:X", "FIT:READY"], ""),
-        (2, "Dev Java Sênior", None, None, None, None, None, None, None, None, None, None),
-        (3, "Dev PHP", "laravel", None, None, [], [], [], "UNKNOWN", None, [], None),
-        (4, None, None, None, None, None, None, None, None, None, None, None),
-    ]
-    profile = classify.Profile(technologies=["Java"], levels=["junior"])
-    got = {r["rec_id"]: r for r in classify.classified(spark.createDataFrame(rows, schema), profile).collect()}
-    assert {k: r["fit"] for k, r in got.items()} == {1: "READY", 2: "EXCLUDE", 3: "OTHER_STACK", 4: "AMBIGUOUS"}
-    assert "EXTRACTION:X" in got[1]["match_labels"] and got[1]["match_labels"].count("FIT:READY") == 1
-    assert classify.classified(spark.createDataFrame([], schema), profile).count() == 0
-
-
 PAGE = """<html><head><title>x</title><script>var a='<div class=card>'</script></head><body>
 <div class="card" data-id="7"><h2 class="t">Dev <b>Java</b></h2><a href="/job/7?x=1">go</a><span class="c">Acme</span></div>
 <div class="card"><h2 class="t">No link</h2></div><div class="card off"><h2 class=t>B<a href='https://y.example/8'>z</a></div>
