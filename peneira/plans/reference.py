@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from peneira.functions import labels as L
 from peneira.functions.places import STATES, in_scope, workplace_text, workplaces
 from peneira.functions.text import (
-    clean_company, clean_description, clean_title, company_from_url, fold, has_term, html_text, slug, spreadsheet_safe,
+    clean_company, clean_description, clean_title, company_from_url, fold, folding, fold_value, has_term, html_text, slug, spreadsheet_safe,
 )
 from peneira.functions.times_sql import activity, deadline_instant, iso_instant
 from peneira.functions.urls import canonical_url
@@ -97,6 +97,10 @@ ROW_KEY = """case when coalesce(canonical_url,'') <> '' then 'url:' || canonical
  else 'fallback:' || lower(coalesce(source,'') || '|' || coalesce(company,'') || '|' || coalesce(title,'') || '|' || coalesce(location,'')) end"""
 FOLDED = r"trim(regexp_replace(strip_accents(replace(replace(lower(%s), 'ß', 'ss'), '…', '...')), '\s+', ' ', 'g'))"
 
+_FROM, _TO = (x.replace("'", "''") for x in folding())
+# With the table of compatibility letters that DuckDB has no function for.
+FOLDED_WHOLE = r"trim(regexp_replace(replace(replace(replace(replace(translate(lower(%s), '" + _FROM.replace("%", "%%") + "', '" + _TO.replace("%", "%%") + r"'), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...'), '\s+', ' ', 'g'))"
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -143,16 +147,17 @@ def term_match(spark, sf_dir):
     return counted.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"c{i}").alias("n")) for i, t in enumerate(TERMS)])).alias("x")).select("x.*")
 
 
-@query(f"select rec_id, {sql_url('canonical_url')} as url from incoming")
+@query(f"select rec_id, {sql_url('canonical_url')} as url from vacancy union all select rec_id, {sql_url('canonical_url')} as url from incoming")
 def canonical_urls(spark, sf_dir):
     """Addresses in canonical form."""
-    return table(spark, sf_dir, "incoming").select("rec_id", canonical_url(F.col("canonical_url")).alias("url"))
+    both = vacancy(spark, sf_dir).select("rec_id", "canonical_url").unionAll(table(spark, sf_dir, "incoming").select("rec_id", "canonical_url"))
+    return both.select("rec_id", canonical_url(F.col("canonical_url")).alias("url"))
 
 
-@query(f"select rec_id, {IDENTITY} as identity from incoming")
+@query(f"select rec_id, {IDENTITY} as identity from vacancy")
 def identity_keys(spark, sf_dir):
     """The identity of each record."""
-    return table(spark, sf_dir, "incoming").select("rec_id", key_of().alias("identity"))
+    return vacancy(spark, sf_dir).select("rec_id", key_of().alias("identity"))
 
 
 @query(f"""select rec_id, {sql_iso('published_at')} as published_us, {sql_deadline('application_deadline')} as deadline_us from vacancy""")
@@ -205,28 +210,34 @@ def recency_score(spark, sf_dir):
     return vacancy(spark, sf_dir).select("rec_id", filters.score(published(), now()).alias("score"))
 
 
-_UFS = STATES
+# Places as words between single spaces: marks between city and state are spaces, other marks words of their own.
+_WORDS = r"' ' || trim(regexp_replace(regexp_replace(regexp_replace(%s, '[\s,/-]+', ' ', 'g'), '([^\p{L}\p{N}\p{M}_ ])', ' \1 ', 'g'), ' +', ' ', 'g')) || ' '" % (FOLDED_WHOLE % "location")
 
 
-@query()
+@query(" union all ".join(f"select '{u}' as state, count(*) filter (contains(w, ' {u.lower()} ') or contains(w, ' {fold_value(n)} ')) as n from (select {_WORDS} as w from vacancy)" for u, n in STATES.items()))
 def location_scope(spark, sf_dir):
     """Records whose place lies in a state."""
     text = vacancy(spark, sf_dir).select(fold(F.col("location")).alias("l"))
-    counted = text.agg(*[F.count_if(in_scope(F.col("l"), n)).alias(u) for u, n in _UFS.items()])
-    return counted.select(F.explode(F.array(*[F.struct(F.lit(u).alias("state"), F.col(u).alias("n")) for u in _UFS])).alias("x")).select("x.*")
+    counted = text.agg(*[F.count_if(in_scope(F.col("l"), n)).alias(u) for u, n in STATES.items()])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(u).alias("state"), F.col(u).alias("n")) for u in STATES])).alias("x")).select("x.*")
 
 
-@query()
+_SPOKEN = FOLDED_WHOLE % "concat_ws(' ', title, location, description_summary)"
+_WORK = {"HYBRID": "hibrido|hybrid", "REMOTE": "remoto|remota|remote|home[ -]+office|teletrabalho", "ONSITE": "presencial|on[ -]+site|onsite"}
+
+
+@query("select rec_id, case when workplace_model in ('HYBRID','REMOTE','ONSITE') then [workplace_model] else list_filter([" + ", ".join(f"case when regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])({p})($|[^\\p{{L}}\\p{{N}}_])') then '{k}' end" for k, p in _WORK.items()) + f"], lambda x: x is not null) end as workplaces from (select *, {_SPOKEN} as t from vacancy)")
 def inferred_workplaces(spark, sf_dir):
     """the declared workplace, or all the text tells."""
     text = workplace_text(F.col("title"), F.col("location"), F.col("description_summary"))
     return vacancy(spark, sf_dir).select("rec_id", workplaces(F.col("workplace_model"), text).alias("workplaces"))
 
 
-@query("select n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') as fingerprint from nation")
+@query("select rec_id, sha256(cast(to_json({'canonical_url': canonical_url, 'published_at': published_at, 'rec_id': rec_id, 'source': source}) as varchar)) as fingerprint from vacancy")
 def row_fingerprint(spark, sf_dir):
     """K3: a hash of a row's canonical JSON, keys sorted."""
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey"), {"ignoreNullFields": "false"}), 256).alias("fingerprint"))
+    rows = vacancy(spark, sf_dir).select("rec_id", "source", "published_at", "canonical_url")
+    return publish.fingerprint(rows, "fingerprint").select("rec_id", "fingerprint")
 
 
 # ---------------------------------------------------------------- joins, merges and resolution
@@ -308,10 +319,21 @@ def term_grid(spark, sf_dir):
     return table(spark, sf_dir, "source_dim").select("code").crossJoin(levels).select("code", "level", F.row_number().over(Window.partitionBy("code").orderBy("prio", "level")).cast("bigint").alias("place"))
 
 
-@query()
+# The sequential rule row by row: a row is taken if neither its address nor its identity was taken before.
+_EXACT = f"""with recursive k as (select rec_id, nullif({sql_url('canonical_url')}, '') as u, {IDENTITY} as i, source_job_id as job, row_number() over (order by rec_id) as n from vacancy),
+ walk(n, rec_id, urls, ids, took) as (select cast(0 as bigint), cast(null as bigint), cast([] as varchar[]), cast([] as varchar[]), false
+  union all select k.n, k.rec_id, case when t.took and k.u is not null then list_append(w.urls, k.u) else w.urls end, case when t.took then list_append(w.ids, k.i) else w.ids end, t.took
+  from walk w join k on k.n = w.n + 1, lateral (select not coalesce(list_contains(w.urls, k.u), false) and not list_contains(w.ids, k.i) as took) t),
+ taken as (select rec_id, took from walk where n > 0), owner as (select k.u, k.rec_id as owner, k.job as own from k join taken using (rec_id) where took and k.u is not null),
+ judged as (select k.rec_id, o.owner, coalesce(k.rec_id > o.owner and k.job <> '' and o.own <> '' and k.job <> o.own, false) as later from k left join owner o on k.u = o.u),
+ bad as (select distinct owner as rec_id from judged where later)
+ select j.rec_id, t.took and b.rec_id is null as kept, j.later or b.rec_id is not null as conflict from judged j join taken t using (rec_id) left join bad b using (rec_id)"""
+
+
+@query(_EXACT)
 def exact_dedupe(spark, sf_dir):
     """What the sequential rule over addresses and identities keeps."""
-    rows = table(spark, sf_dir, "incoming").select("rec_id", canonical_url(F.col("canonical_url")).alias("url_key"), key_of().alias("id_key"), F.col("source_job_id").alias("job"))
+    rows = vacancy(spark, sf_dir).select("rec_id", canonical_url(F.col("canonical_url")).alias("url_key"), key_of().alias("id_key"), F.col("source_job_id").alias("job"))
     return resolve.exact_duplicates(rows, "rec_id")
 
 
@@ -335,10 +357,10 @@ def in_order_distinct(spark, sf_dir):
     return merge.first_of(vacancy(spark, sf_dir), merge.row_key(), "rec_id").select("rec_id")
 
 
-@query(f"with k as (select rec_id, {ROW_KEY} as k from vacancy), f as (select min(rec_id) as rec_id from k group by k) select rec_id from f order by rec_id desc limit 500")
+@query(f"with k as (select rec_id, {ROW_KEY} as k from vacancy), f as (select min(rec_id) as rec_id from k group by k) select rec_id from f order by rec_id desc limit 20000")
 def discarded_basket(spark, sf_dir):
-    """The last 500 distinct rows; 500 is the basket's capacity."""
-    return merge.basket(vacancy(spark, sf_dir), "rec_id", 500).select("rec_id")
+    """The last 20,000 distinct rows, the capacity of the basket."""
+    return merge.basket(vacancy(spark, sf_dir), "rec_id").select("rec_id")
 
 
 # ---------------------------------------------------------------- filters and orders
@@ -370,10 +392,10 @@ def round_robin_topk(spark, sf_dir):
     return got.select("rec_id", "priority", F.col("turn").cast("bigint").alias("turn"))
 
 
-@query("select event_id, ts from events order by ts desc, event_id limit 200")
+@query("select event_id, ts from events order by ts desc, event_id limit 200000")
 def evicted_history(spark, sf_dir):
-    """The newest 200 entries; 200 is the capacity."""
-    return series.evicted(table(spark, sf_dir, "events"), "ts", "event_id", 200).select("event_id", "ts")
+    """The newest 200,000 entries, the capacity of the history."""
+    return series.evicted(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "ts")
 
 
 # ---------------------------------------------------------------- aggregations
@@ -466,12 +488,12 @@ _RUNS = "select source, cast(substr(observed_at, 1, 7) as varchar) as run, case
 
 @query(f"""with r as ({_RUNS}), g as (select *, sum(case when status = 'SUCCESS' then 1 else 0 end) over (partition by source order by run) + case when status = 'SUCCESS' then 0 else 1 end as g from r),
  j as (select a.source, a.run, a.status, a.n, avg(b.n) as mean, count(b.n) as seen from g a left join g b on a.source = b.source and b.status = 'SUCCESS' and b.g between a.g - 10 and a.g - 1 group by a.source, a.run, a.status, a.n)
- select source, run, status, n, round(mean, 6) as mean, seen, case when seen >= 2 and mean > 0 and n = 0 then 'ZERO' when seen >= 2 and n < mean * 0.9 then 'DROP' end as warning from j""")
+ select source, run, status, n, round(mean, 6) as mean, seen, case when seen >= 2 and mean > 0 and n = 0 then 'ZERO' when seen >= 2 and n < mean * 0.5 then 'DROP' end as warning from j""")
 def count_anomaly(spark, sf_dir):
-    """W1, ST2: runs whose count falls below 0.9 of the mean of the ten before."""
+    """W1, ST2: runs whose count falls below half of the mean of the ten before."""
     blocked = F.count_if(F.col("collection_status") == "BLOCKED")
     runs = vacancy(spark, sf_dir).groupBy("source", F.substring("observed_at", 1, 7).alias("run")).agg(F.when(blocked * 10 > F.count("*"), "BLOCKED").otherwise("SUCCESS").alias("status"), F.count("*").alias("n"))
-    return series.count_anomalies(runs, 0.9).select("source", "run", "status", "n", F.round("mean", 6).alias("mean"), "seen", "warning")
+    return series.count_anomalies(runs).select("source", "run", "status", "n", F.round("mean", 6).alias("mean"), "seen", "warning")
 
 
 @query(f"""with s as (select {IDENTITY} as identity, min(observed_at) as first_seen from vacancy group by 1), n as (select {IDENTITY} as identity, min(observed_at) as first_seen from incoming group by 1)
@@ -503,7 +525,8 @@ def kept_labels(spark, sf_dir):
     return vacancy(spark, sf_dir).select("rec_id", L.without_classifier(F.col("match_labels")).alias("kept"))
 
 
-@query()
+@query(r"""with l as (select rec_id, list_filter(list_concat(coalesce(technologies, []), list_sort(list_transform(list_filter(coalesce(match_labels, []), lambda x: starts_with(x, 'TECH_MATCH:')), lambda x: substr(x, 12)))), lambda x: x is not null and x <> '') as e from vacancy)
+ select rec_id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i) as technologies from l""")
 def shown_technologies(spark, sf_dir):
     """technologies to show."""
     return vacancy(spark, sf_dir).select("rec_id", L.shown_technologies(F.col("technologies"), F.col("match_labels")).alias("technologies"))
@@ -519,6 +542,25 @@ def schema_check(spark, sf_dir):
     )
 
 
+_HTML = "nullif(trim(regexp_replace(replace(regexp_replace(" + "replace(" * 12 + "%s" + "".join(f",'{e}',{c})" for e, c in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&apos;", "chr(39)"), ("&ndash;", "'–'"), ("&mdash;", "'—'"), ("&bull;", "'•'"), ("&hellip;", "'…'"), ("&amp;", "'&'"))) + r", '<[^>]+>', ' ', 'g'), '**', ''), '[\s' || chr(160) || ']+', ' ', 'g')), '')"
+
+
+@query(f"""with r as (select source, cast(job_id as varchar) as source_job_id, {sql_url('absolute_url')} as canonical_url, {_HTML % 'title'} as title, {_HTML % 'company_name'} as company, {_HTML % 'location_name'} as location,
+  {sql_iso('first_published')} as published_us, {sql_iso('updated_at')} as deadline_us from api_job),
+ k as (select *, coalesce('id:' || source_job_id, 'url:' || canonical_url) as k from r where title is not null and starts_with(canonical_url, 'https://')), f as (select source, k, min(canonical_url) as canonical_url from k group by 1, 2)
+ select k.source, k.source_job_id, min(k.canonical_url) as canonical_url, count(distinct (title, company, location, published_us, deadline_us)) as readings from k join f on k.source is not distinct from f.source and k.k = f.k and k.canonical_url = f.canonical_url group by k.source, k.source_job_id, k.k""")
+def api_readings(spark, sf_dir):
+    """How many different readings each item of a JSON portal has at the address its record is taken from."""
+    items = table(spark, sf_dir, "api_job")
+    c = F.col
+    mapped = json_items.records(items, {"title": c("title"), "url": c("absolute_url"), "id": c("job_id"), "company": c("company_name"), "location": c("location_name"), "published": c("first_published"), "deadline": c("updated_at")})
+    key = F.coalesce(F.concat(F.lit("id:"), "source_job_id"), F.concat(F.lit("url:"), "canonical_url"))
+    first = json_items.first_reading(mapped, "canonical_url").select(F.col("source").alias("s"), key.alias("k"), F.col("canonical_url").alias("u"))
+    told = mapped.withColumn("k", key).join(first, "k").where(c("source").eqNullSafe(c("s")) & (c("canonical_url") == c("u")))
+    readings = F.countDistinct(F.struct(*[F.coalesce(c(x).cast("string"), F.lit("\u0000")) for x in ("title", "company", "location", "published", "deadline")]))
+    return told.groupBy("source", "source_job_id", "k").agg(F.min("canonical_url").alias("canonical_url"), readings.alias("readings")).drop("k")
+
+
 @query()
 def api_records(spark, sf_dir):
     """Items of JSON portals as records, each id once."""
@@ -528,11 +570,11 @@ def api_records(spark, sf_dir):
     return json_items.first_reading(mapped, "canonical_url")
 
 
-@query("select code, pos, term, url from (select code, pos, term, start_url || case when contains(start_url, '?') then '&' else '?' end || 'q=' || replace(term, ' ', '+') as url, row_number() over (partition by code order by pos, term) as r from source_dim cross join (values (0, 'python'), (1, 'java junior'), (2, 'dados')) t(pos, term) where enabled) where r <= 2")
+@query("select code, pos, term, url from (select code, pos, term, start_url || case when contains(start_url, '?') then '&' else '?' end || 'q=' || replace(term, ' ', '+') as url, row_number() over (partition by code order by pos, term) as r from source_dim cross join (values (0, 'python'), (1, 'java junior'), (2, 'dados')) t(pos, term) where enabled) where r <= 40")
 def search_sweep(spark, sf_dir):
-    """Search addresses of enabled sources; two requests a source is the budget."""
+    """Search addresses of enabled sources; 40 requests a source is the budget."""
     terms = spark.createDataFrame([(0, "python"), (1, "java junior"), (2, "dados")], "pos int, term string")
-    return json_items.sweep(table(spark, sf_dir, "source_dim"), terms, 2)
+    return json_items.sweep(table(spark, sf_dir, "source_dim"), terms)
 
 
 PROFILE_TERMS = ["Python", "Java"]
@@ -566,11 +608,15 @@ def run_report(spark, sf_dir):
     return publish.run_report(vacancy(spark, sf_dir).withColumn("reason", _reason())).select("source", "records")
 
 
-@query(r"select rec_id, case when regexp_matches(title, '^[=+\-@\t\r]') then '''' || title else title end as title, case when regexp_matches(array_to_string(match_labels, ';'), '^[=+\-@\t\r]') then '''' || array_to_string(match_labels, ';') else array_to_string(match_labels, ';') end as match_labels from vacancy")
+_SAFE = r"case when regexp_matches({c}, '^[=+\-@\t\r]') then '''' || {c} else {c} end"
+_CELLS = ["title", "company", "location", "workplace_model", "published_at", "source", "canonical_url"]
+
+
+@query("select rec_id, " + ", ".join(f"{_SAFE.format(c=c)} as {c}" for c in _CELLS) + f", {_SAFE.format(c='labels')} as match_labels from (select *, array_to_string(match_labels, ';') as labels from vacancy)")
 def csv_view(spark, sf_dir):
-    """K5: cells of the plain CSV."""
-    rows = vacancy(spark, sf_dir)
-    return rows.select("rec_id", spreadsheet_safe(F.col("title")).alias("title"), spreadsheet_safe(F.array_join("match_labels", ";")).alias("match_labels"))
+    # K5: the eight cells of the plain CSV.
+    rows = vacancy(spark, sf_dir).withColumn("key", F.col("rec_id"))
+    return publish.csv_view(rows, ["rec_id"])
 
 
 @query(f"select count(*) as rows, count(distinct coalesce(canonical_url,'None')) as addresses from vacancy where {FIT} in ('READY','CONDITIONAL') and not coalesce(list_contains(match_labels,'RELEVANCE:OFF_TOPIC'), false) and coalesce(canonical_url,'None') not in (select coalesce(canonical_url,'None') from incoming)")
@@ -595,7 +641,7 @@ def document_totals(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query("""select count(*) as rows, cast(coalesce(sum(cast('0x' || substr(md5(cast(to_json({'rec_id': rec_id, 'canonical_url': canonical_url, 'content_hash': content_hash}) as varchar)), 1, 15) as bigint)), 0) as varchar) as token from vacancy""")
 def table_version(spark, sf_dir):
     """ST3-ST4: a token of a table's contents."""
     rows = vacancy(spark, sf_dir)

@@ -117,7 +117,7 @@ def value(root: Node, selector: str | None) -> str | None:
     found = select(root, plain) if plain.strip() else [root]
     if not found:
         return None
-    name = re.fullmatch(r"attr\(([\w-]+)\)", what)
+    name = re.fullmatch(r"attr\(([\w-]+)\)", what)  # ::all is the text of the whole card
     got = found[0].attributes.get(name[1]) if name else found[0].text()
     return got.strip() or None if got else None
 
