@@ -60,7 +60,7 @@ def published_instant(text: Column, now: Column) -> Column:
     month = F.array_position(F.lit(MONTH_NAMES), group(long_, 2)).cast("string")
     seconds = F.create_map(*[F.lit(x) for s, us in AGE_UNITS.items() for u in us for x in (u, s)])
     count = group(aged, 1).try_cast("bigint")
-    ago = lambda s: F.timestamp_micros(F.unix_micros(now) - s * 1_000_000)
+    ago = lambda s: F.timestamp_micros(F.unix_micros(now) - s.cast("bigint") * 1_000_000)
     past = lambda t: F.when(t <= now, t)
     return (
         F.when(iso_instant(text).isNotNull(), past(iso_instant(text))).when(plain.rlike(_ISO), None).when(plain.rlike(slashed), past(day(group(slashed, 3), group(slashed, 2), group(slashed, 1))))

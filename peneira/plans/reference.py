@@ -578,6 +578,7 @@ def search_sweep(spark, sf_dir):
 
 
 PROFILE_TERMS = ["Python", "Java"]
+FIT_PROFILE = Profile(technologies=PROFILE_TERMS, levels=["junior", "pleno"], places=["sao-paulo-sp", "Paraná", "brasil"], workplaces=["REMOTE", "HYBRID"], bonus=["Docker"])
 
 
 @query(f"""with t as (select rec_id, {FOLDED % "description_summary"} as d from vacancy)
@@ -591,8 +592,7 @@ def core_terms(spark, sf_dir):
 @query()
 def fit_case(spark, sf_dir):
     """2.9.1: records classified against a profile."""
-    profile = Profile(technologies=PROFILE_TERMS, levels=["junior", "pleno"], places=["sao-paulo-sp", "Paraná", "brasil"], workplaces=["REMOTE", "HYBRID"], bonus=["Docker"])
-    return classified(spread(vacancy(spark, sf_dir)), profile).select("rec_id", "fit", "fit_score", "match_labels")
+    return classified(spread(vacancy(spark, sf_dir)), FIT_PROFILE).select("rec_id", "fit", "fit_score", "match_labels")
 
 
 @query(r"""select rec_id, coalesce(nullif(regexp_extract(canonical_url, '(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})', 1), ''), nullif(regexp_extract(canonical_url, '[?&](?:jk|jobId|job_id)=([^&#]+)', 1), ''),
