@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peneira.llm.tokens import TOKENIZER, encoder
+from peneira.llm.tokens import TOKENIZER, encoder, shipped
 
 
 @dataclass(frozen=True)
@@ -177,6 +177,7 @@ def pieces(rows: DataFrame, doc_id: str, text: str, limits: Limits = Limits(), p
     length are read; repeated rows give their pieces again; other columns are
     not read. One scan, no shuffle.
     """
+    shipped(rows.sparkSession, path)
     own = rows.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text_")).where(F.octet_length("text_") > limits.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
