@@ -360,6 +360,7 @@ class Index:
         self.work = [(e, self.weigh(e)) for e in _lines(WORK)]
         self.by_word: dict[str, list[int]] = defaultdict(list)
         self.offsets: list[dict[str, list[int]]] = []
+        self.parts = [[(w, self.idf(w)) for w in e] for e, _ in self.residue]
         for i, (e, weight) in enumerate(self.residue):
             left = weight
             bare = e[1:] if e[0] == "‹open›" else e
@@ -395,7 +396,7 @@ class Index:
         seen = Text(text)
         present = {*seen.tokens, "‹open›"}
         could = {i for t in present for i in self.by_word.get(t, ())}
-        could = {i for i in could if sum(self.idf(w) for w in self.residue[i][0] if w in present) >= COVER * self.residue[i][1]}
+        could = {i for i in could if sum([x for w, x in self.parts[i] if w in present]) >= COVER * self.residue[i][1]}
         if not could:
             return False
         starts: dict[int, set[int]] = {}
@@ -466,13 +467,13 @@ class Lookup:
         self.low = np.zeros(1 << 16, bool)
         self.low[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def __call__(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, place in the set) of the hashes that are in the set."""
+    def __call__(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in the set, place among all words) of the hashes that are in the set."""
         likely = np.flatnonzero(self.low[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        row, h = row[likely], h[likely]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        return row[hit], at[hit]
+        at = np.minimum(np.searchsorted(self.hashes, h[likely]), len(self.hashes) - 1)
+        hit = self.hashes[at] == h[likely]
+        likely = likely[hit]
+        return row[likely], at[hit], likely
 
 
 def keyed_vocabulary() -> list[tuple[int, str]]:
@@ -493,7 +494,7 @@ def word_counts(rows: DataFrame, fields: list[str]) -> tuple[dict[str, int], int
         for batch in batches:
             pairs = []
             for i in range(len(fields)):
-                row, at = find(*word_hashes(batch.column(i)))
+                row, at, _ = find(*word_hashes(batch.column(i)))
                 pairs.append(row * len(hashes) + at)
             found += np.bincount(np.unique(np.concatenate(pairs)) % len(hashes), minlength=len(hashes))
             total += batch.num_rows
@@ -514,6 +515,7 @@ class Judge:
         self.size = len(keyed)
         self.gain = np.zeros((len(keyed), len(index.residue)), np.float32)
         self.need = np.zeros(len(index.residue), np.float32)
+        self.span = np.zeros(len(index.residue), np.int64)
         for j, (e, weight) in enumerate(index.residue):
             self.need[j] = COVER * weight - 1e-3
             for w in e:
@@ -521,20 +523,45 @@ class Judge:
                     self.gain[place[w], j] += index.idf(w)
                 else:  # signs are taken to be there
                     self.need[j] -= index.idf(w)
+            # A window is as long as its exemplar and a few words; where a sign may stand for several words, any length will do.
+            self.span[j] = len(e) + 6 if all(w in place for w in e) else 1 << 30
             if not self.gain[:, j].any():
                 self.need[j] = np.inf  # made of signs only: SIGNS finds it
 
+    def _near(self, at: np.ndarray, order: np.ndarray, j: int) -> bool:
+        """Whether words that can cover an exemplar stand near enough to each other for one window."""
+        gain = self.gain[at, j]
+        hit = np.flatnonzero(gain > 0)
+        words, place, gain, need, span = at[hit].tolist(), order[hit].tolist(), gain[hit].tolist(), float(self.need[j]), int(self.span[j])
+        for first in range(len(words)):
+            total, seen = 0.0, set()
+            for k in range(first, len(words)):
+                if place[k] - place[first] >= span:
+                    break
+                if words[k] not in seen:
+                    seen.add(words[k])
+                    total += gain[k]
+                    if total >= need:
+                        return True
+        return False
+
     def __call__(self, columns: list[pa.Array], words: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """columns: plain forms; words: their word_hashes() where known."""
         out = np.zeros(len(columns[0]), bool)
         for i, column in enumerate(columns):
-            row, at = self.find(*(words[i] if words else word_hashes(column)))
+            every = words[i] if words else word_hashes(column)
+            row, at, order = self.find(*every)
             likely = pa.compute.match_substring_regex(column, SIGNS).fill_null(False).to_numpy(zero_copy_only=False).copy()
             number, where = np.unique(row, return_inverse=True)
             there = np.zeros((len(number), self.size), np.float32)
             there[where, at] = 1
+            bounds = np.searchsorted(where, np.arange(len(number) + 1))
             for a in range(0, len(number), 4096):
-                likely[number[a : a + 4096][(there[a : a + 4096] @ self.gain >= self.need).any(1)]] = True
+                for r, j in zip(*(x.tolist() for x in np.nonzero(there[a : a + 4096] @ self.gain >= self.need))):
+                    k = number[a + r]
+                    if not likely[k] and not out[k]:
+                        own = slice(bounds[a + r], bounds[a + r + 1])
+                        likely[k] = self._near(at[own], order[own], j)
             for k in np.flatnonzero(likely & ~out).tolist():
                 out[k] = self.index.is_residue(column[k].as_py())
         return out
