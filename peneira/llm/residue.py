@@ -516,15 +516,17 @@ class Judge:
         self.gain = np.zeros((len(keyed), len(index.residue)), np.float32)
         self.need = np.zeros(len(index.residue), np.float32)
         self.span = np.zeros(len(index.residue), np.int64)
+        self.times = np.zeros(self.gain.shape, np.int8)
         for j, (e, weight) in enumerate(index.residue):
             self.need[j] = COVER * weight - 1e-3
             for w in e:
                 if w in place:
                     self.gain[place[w], j] += index.idf(w)
+                    self.times[place[w], j] += 1
                 else:  # signs are taken to be there
                     self.need[j] -= index.idf(w)
-            # A window is as long as its exemplar and a few words; where a sign may stand for several words, any length will do.
-            self.span[j] = len(e) + 6 if all(w in place for w in e) else 1 << 30
+            # A window is as long as its exemplar and a few words; only a placeholder may be more words, and SIGNS finds those.
+            self.span[j] = len(e) + 6
             if not self.gain[:, j].any():
                 self.need[j] = np.inf  # made of signs only: SIGNS finds it
 
@@ -532,14 +534,16 @@ class Judge:
         """Whether words that can cover an exemplar stand near enough to each other for one window."""
         gain = self.gain[at, j]
         hit = np.flatnonzero(gain > 0)
-        words, place, gain, need, span = at[hit].tolist(), order[hit].tolist(), gain[hit].tolist(), float(self.need[j]), int(self.span[j])
+        times = self.times[at[hit], j]
+        words, place, gain, need, span = at[hit].tolist(), order[hit].tolist(), (gain[hit] / times).tolist(), float(self.need[j]), int(self.span[j])
+        left = dict(zip(words, times.tolist()))
         for first in range(len(words)):
-            total, seen = 0.0, set()
+            total, room = 0.0, dict(left)
             for k in range(first, len(words)):
                 if place[k] - place[first] >= span:
                     break
-                if words[k] not in seen:
-                    seen.add(words[k])
+                if room[words[k]]:  # a word counts as often as the exemplar has it
+                    room[words[k]] -= 1
                     total += gain[k]
                     if total >= need:
                         return True
