@@ -10,30 +10,38 @@ from pyspark.sql import functions as F
 from peneira.session import _remove_at_exit, shared_dir
 
 
-def stream_first_seen(spark: SparkSession, path: str, key: str, at: str) -> DataFrame:
+def stream_first_seen(spark: SparkSession, path: str, key: str, at: str, base: str | None = None) -> DataFrame:
     """(key, first_seen) after a stream has taken all that lies at a path.
 
-    Each micro-batch is reduced to one row per key and merged into the state
-    table, a new version per batch, so a batch that is replayed after a failure
-    gives the same state. The checkpoint and the versions lie in the shared
-    folder. An empty stream gives an empty state.
+    The state is Spark's own: a streaming aggregation by key, in RocksDB. Each
+    micro-batch gives only the keys it changed, written to a part of the log
+    that carries the batch's number, so a batch replayed after a failure
+    replaces its part. base: the folder of checkpoint and log; a stream that is
+    started again with it goes on where it stopped, reading only what is new.
+    Without it the folder is of this run and goes with it. Rows without a key
+    are one key. An empty stream gives an empty state.
     """
-    base = f"{shared_dir(spark)}/peneira-stream-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, base)
-    fields = f"{key} {spark.read.parquet(path).schema[key].dataType.simpleString()}, {at} {spark.read.parquet(path).schema[at].dataType.simpleString()}"
-    last = {"version": None}
-
-    def merge(batch: DataFrame, number: int) -> None:
-        own = batch.groupBy(key).agg(F.min(at).alias("first_seen"))
-        if number > 0:
-            own = own.unionByName(batch.sparkSession.read.parquet(f"{base}/state/{number - 1}")).groupBy(key).agg(F.min("first_seen").alias("first_seen"))
-        own.write.mode("overwrite").parquet(f"{base}/state/{number}")
-        last["version"] = number
+    own = base or f"{shared_dir(spark)}/peneira-stream-{uuid.uuid4().hex}"
+    if base is None:
+        _remove_at_exit(spark, own)
+    schema = spark.read.parquet(path).schema
+    fields = f"{key} {schema[key].dataType.simpleString()}, {at} {schema[at].dataType.simpleString()}"
+    told = fields.replace(f", {at} ", ", first_seen ")
 
+    def log(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{own}/log/batch={number}")
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # A file source takes a folder or a glob; a path to one file is such a glob.
     stream = spark.readStream.schema(fields).format("parquet").load(path + "*")
-    run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    changed = stream.groupBy(key).agg(F.min(at).alias("first_seen"))
+    run = changed.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{own}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    if last["version"] is None:
-        return spark.createDataFrame([], fields.replace(f", {at} ", ", first_seen "))
-    return spark.read.parquet(f"{base}/state/{last['version']}")
+    if not _exists(spark, f"{own}/log"):
+        return spark.createDataFrame([], told)
+    return spark.read.schema(told).parquet(f"{own}/log").groupBy(key).agg(F.min("first_seen").alias("first_seen"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -145,3 +145,17 @@ def test_source_defaults(spark):
     dim = spark.createDataFrame([("s", "REMOTE"), ("u", "REMOTE"), ("u", None)], "source string, default_workplace string")
     got = {r["rec_id"]: (r["company"], r["workplace_model"]) for r in scan.with_defaults(rows, dim, {"t": r"^(\w+) abre"}).collect()}
     assert got == {1: ("Acme", "REMOTE"), 2: ("Acme", None), 3: ("Beta", "ONSITE")}
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from peneira.streaming.first_seen import stream_first_seen
+
+    data, base = str(tmp_path / "in"), str(tmp_path / "state")
+    write = lambda rows: spark.createDataFrame(rows, "k string, t int").coalesce(1).write.mode("append").parquet(data)
+    state = lambda: {r["k"]: r["first_seen"] for r in stream_first_seen(spark, data, "k", "t", base).collect()}
+    write([("a", 5), ("b", 3), ("a", 9), (None, 1)])
+    assert state() == {"a": 5, "b": 3, None: 1} == state()
+    write([("a", 2), ("c", 7), ("b", 8)])
+    assert state() == {"a": 2, "b": 3, "c": 7, None: 1}
+    parts = sorted(p.name for p in (tmp_path / "state" / "log").iterdir() if p.is_dir())
+    assert len(parts) == 2 and spark.read.parquet(str(tmp_path / "state" / "log" / parts[1])).count() <= 3
