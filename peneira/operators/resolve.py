@@ -68,12 +68,12 @@ def exact_duplicates(records: DataFrame, order: str) -> DataFrame:
     identity was; a dropped record registers nothing. Two job ids at one
     address are a conflict: neither is kept. The rule is replayed within
     connected components of addresses and identities, so components run in
-    parallel. Records with equal keys are collapsed to
+    parallel; one component is one task, which holds the keys it took. Records with equal keys are collapsed to
     their first before the replay; conflicts are found by a join with what was taken.
     """
     keyed = staged(records.select(F.col(order).alias("ord"), F.when(F.col("url_key") != "", F.col("url_key")).alias("url"), F.col("id_key").alias("key"), "job"), "keyed")
     nodes = keyed.select("ord", "url", "key", "job", F.xxhash64(F.lit("u"), "url").alias("a"), F.xxhash64(F.lit("i"), "key").alias("b"))
-    roots = connected(nodes.where("url is not null").select("a", "b")).withColumnRenamed("node", "b")
+    roots = _roots(nodes.where("url is not null").select("a", "b").distinct())
     placed = nodes.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
     firsts = placed.groupBy("root", "url", "key").agg(F.min(F.struct("ord", "job")).alias("f")).select("root", "url", "key", "f.*")
     counted = firsts.withColumn("n", F.count("*").over(Window.partitionBy("root")))
@@ -88,6 +88,25 @@ def exact_duplicates(records: DataFrame, order: str) -> DataFrame:
     return out.select(F.col("ord").alias(order), (F.coalesce("took", F.lit(False)) & ~bad).alias("kept"), (F.col("later") | bad).alias("conflict"))
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """(b, root) of the identities (b) that addresses (a) link to others.
+
+    An address of one identity links nothing. Identities that share one address
+    and no other are a group at once, its least is the root. Only what is left,
+    identities with several shared addresses, goes through the rounds of
+    connected().
+    """
+    shared = staged(edges.join(edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "a", "left_semi"), "shared")
+    if shared.isEmpty():
+        return shared.select("b", F.col("a").alias("root"))
+    ways = shared.groupBy("b").agg(F.count("*").alias("n"))
+    stars = shared.join(ways, "b").groupBy("a").agg(F.max("n").alias("most"), F.min("b").alias("root"))
+    judged = shared.join(stars, "a")
+    known = judged.where("most = 1").select("b", "root")
+    left = judged.where("most > 1").select("a", "b")
+    return known if left.isEmpty() else known.unionAll(connected(left).select(F.col("node").alias("b"), "root"))
+
+
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records of each component that are taken in order: neither their address nor their identity was taken before."""
     root, urls, keys = None, set(), set()
