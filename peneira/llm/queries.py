@@ -55,8 +55,9 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dim = table(spark, sf_dir, "vacancy"), table(spark, sf_dir, "source_dim")
-    dated = instants(rows, dim, "rec_id", {"published_at": False}, "observed_at")
-    return survivor.survivors(survivor.measured(rows, _groups(spark, sf_dir), dated, dim))
+    members = staged(survivor.grouped(rows, _groups(spark, sf_dir)), "grouped")
+    dated = instants(members, dim, "rec_id", {"published_at": False}, "observed_at")
+    return survivor.survivors(survivor.measured(members, dated, dim))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
