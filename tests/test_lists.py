@@ -159,3 +159,27 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert state() == {"a": 2, "b": 3, "c": 7, None: 1}
     parts = sorted(p.name for p in (tmp_path / "state" / "log").iterdir() if p.is_dir())
     assert len(parts) == 2 and spark.read.parquet(str(tmp_path / "state" / "log" / parts[1])).count() <= 3
+
+
+def test_connected_groups_equal_a_plain_search(spark):
+    import random
+
+    from peneira.operators.components import connected
+
+    rnd = random.Random(3)
+    for edges in ([(i, i + 1) for i in range(60)] + [(200, i) for i in range(100, 130)], [(rnd.randrange(80), rnd.randrange(80)) for _ in range(50)], [(5, 5), (1, 2), (2, 1)], []):
+        near: dict[int, set[int]] = {}
+        for a, b in edges:
+            if a != b:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        expected = {}
+        for start in sorted(near):
+            todo = [start] if start not in expected else []
+            while todo:
+                at = todo.pop()
+                if at not in expected:
+                    expected[at] = start
+                    todo += near[at]
+        got = connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert len(got) == len(expected) and {r["node"]: r["root"] for r in got} == expected
