@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, root): the vacancy rows linked by p1 and the group each belongs to."""
     members, links = _near(spark, sf_dir)
-    kept = staged(members, "members")
+    kept = staged(members, "members", by="class")
     roots = connected(links.select("a", "b"))
     released(members)
     several = kept.groupBy("class").agg(F.count("*").alias("n"))
