@@ -326,3 +326,46 @@ def test_short_record_in_a_longer_one(spark):
         rnd.shuffle(more)
         rows += [" ".join(own), " ".join(more)]
     assert linked(spark, rows) == alike(rows) == {(2 * i, 2 * i + 1) for i in range(5)}
+
+
+def fragment_lines(n, places, seed=1):
+    """Lines of one fragment as _dealt gives them: n classes, every one in each of the places."""
+    import numpy as np
+
+    rnd = np.random.default_rng(seed)
+    kind, size, bits = np.arange(n, dtype=np.int64), np.full(n, 90, np.int32), rnd.integers(0, 2**63, (n, near.BITS // 64), dtype=np.uint64)
+    for k in range(0, n, 1000):
+        own = np.arange(k, min(k + 1000, n))
+        at = np.tile(np.arange(len(own), dtype=np.uint16), places)
+        place = np.repeat(np.arange(places, dtype=np.uint32), len(own))
+        yield [7, *[x.tobytes() for x in (kind[own], size[own], bits[own], place, at)]]
+
+
+def in_fragment(lines, settings):
+    import pyarrow as pa
+
+    names, kinds = ["fragment", "kind", "size", "bits", "place", "at"], [pa.int32()] + [pa.binary()] * 5
+    return near._pairs_in_fragments(settings)(iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), kinds)], names)]))
+
+
+def test_a_long_list_gives_each_block_once(spark):
+    """What leaves a fragment for a list longer than a block is in proportion to the list, in batches of a block."""
+    n, one = 6400, 12 + near.BITS // 8
+    got = list(in_fragment(list(fragment_lines(n, 1)), near.Settings(block=100)))
+    sent = [sum(len(x) for c in b.columns if str(c.type) == "binary" for x in c.to_pylist() if x) for b in got]
+    assert sum(sent) == n * one and max(sent) <= one * n // near.CUTS and len(sent) == near.CUTS
+
+
+def test_a_fragment_gives_its_pairs_out_in_pieces(monkeypatch):
+    """Pairs of a fragment are held up to a bound, and what is given out in pieces sums to the same counts."""
+    from collections import Counter
+
+    lines = [[f, kind, size, bytes(len(bits)), place, at] for f, kind, size, bits, place, at in fragment_lines(120, 2)]
+    whole = Counter({(a, b): n for x in in_fragment(lines, near.Settings()) for a, b, n in zip(*[c.to_pylist() for c in x.columns[:3]])})
+    monkeypatch.setattr(near, "HELD", 1000)
+    cut = list(in_fragment(lines, near.Settings(block=16384)))
+    total = Counter()
+    for x in cut:
+        for a, b, n in zip(*[c.to_pylist() for c in x.columns[:3]]):
+            total[a, b] += n
+    assert total == whole and len(whole) == 120 * 119 // 2 and len(cut) > 1
